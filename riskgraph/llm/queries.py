@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 from .lm_scoring import op1_suffix_tree
+from .ogg import op8_ogg
+from .packing import op4_vector_packing
+from .word_bpe import op7_word_bpe
 
 QUERIES = {
     "op1_suffix_tree": op1_suffix_tree,
+    "op4_vector_packing": op4_vector_packing,
+    "op7_word_bpe": op7_word_bpe,
+    "op8_ogg": op8_ogg,
 }
 
 ORACLE_SQL: dict[str, str] = {}

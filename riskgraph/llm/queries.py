@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat import op2_reply_trees
 from .lm_scoring import op1_suffix_tree
 from .ogg import op8_ogg
 from .packing import op4_vector_packing
@@ -9,6 +10,7 @@ from .word_bpe import op7_word_bpe
 
 QUERIES = {
     "op1_suffix_tree": op1_suffix_tree,
+    "op2_reply_trees": op2_reply_trees,
     "op4_vector_packing": op4_vector_packing,
     "op7_word_bpe": op7_word_bpe,
     "op8_ogg": op8_ogg,

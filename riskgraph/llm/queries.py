@@ -5,12 +5,14 @@ from __future__ import annotations
 from .chat import op2_reply_trees
 from .lm_scoring import op1_suffix_tree
 from .ogg import op8_ogg
+from .pivot_index import op3_pivot_index
 from .packing import op4_vector_packing
 from .word_bpe import op7_word_bpe
 
 QUERIES = {
     "op1_suffix_tree": op1_suffix_tree,
     "op2_reply_trees": op2_reply_trees,
+    "op3_pivot_index": op3_pivot_index,
     "op4_vector_packing": op4_vector_packing,
     "op7_word_bpe": op7_word_bpe,
     "op8_ogg": op8_ogg,

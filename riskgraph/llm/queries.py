@@ -7,6 +7,7 @@ from .lm_scoring import op1_suffix_tree
 from .ogg import op8_ogg
 from .pivot_index import op3_pivot_index
 from .packing import op4_vector_packing
+from .sharding import op10_label_propagation
 from .word_bpe import op7_word_bpe
 
 QUERIES = {
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_vector_packing": op4_vector_packing,
     "op7_word_bpe": op7_word_bpe,
     "op8_ogg": op8_ogg,
+    "op10_label_propagation": op10_label_propagation,
 }
 
 ORACLE_SQL: dict[str, str] = {}

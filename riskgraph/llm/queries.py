@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bagminhash import op5_bagminhash
 from .chat import op2_reply_trees
 from .lm_scoring import op1_suffix_tree
 from .ogg import op8_ogg
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_reply_trees": op2_reply_trees,
     "op3_pivot_index": op3_pivot_index,
     "op4_vector_packing": op4_vector_packing,
+    "op5_bagminhash": op5_bagminhash,
     "op7_word_bpe": op7_word_bpe,
     "op8_ogg": op8_ogg,
     "op10_label_propagation": op10_label_propagation,

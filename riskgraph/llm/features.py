@@ -19,7 +19,7 @@ class Linear:
         return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_logistic(doc: np.ndarray, place: np.ndarray, value: np.ndarray, target: np.ndarray, size: int, weight: np.ndarray | None = None, rounds: int = 200, rate: float = 0.3, decay: float = 1e-4) -> Linear:
+def fit_logistic(doc: np.ndarray, place: np.ndarray, value: np.ndarray, target: np.ndarray, size: int, weight: np.ndarray | None = None, rounds: int = 400, rate: float = 0.5, decay: float = 1e-4) -> Linear:
     """Logistic regression with soft targets in [0, 1], full-batch Adagrad. Without documents: a zero scorer."""
     n = len(target)
     w, b = np.zeros(size), 0.0

@@ -12,7 +12,8 @@ Intervals wholly above the count are never entered, points of the one cut by it
 time is past the document's largest kept time, so a document costs little more than its number of shingles.
 
 Equal texts are one class first. Signatures are cut into bands; texts that share a band and whose bags' sizes
-allow it are candidates. A bucket never gives all its pairs: first each member is verified against the bucket's
+allow it are candidates. Two bits of every slot make a sketch, and pairs whose sketches can't be those of near
+duplicates go before any bag is read, so a passage that many texts share costs no rows. A bucket never gives all its pairs: first each member is verified against the bucket's
 smallest member, and links are joined to components. Where a bucket still spans several components, the members outside
 its largest one are verified against all that are not in their component. Pairs left out lie in one component
 already, so the components are those of all candidate links. Verification is exact, on whole bags.
@@ -27,12 +28,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, large_binary_column, mix, slices, stored, table, word_hashes
 
 BANDS, BAND = 42, 6
+SKETCH = 8  # longs of 63 bits: two bits of each of the 252 slots
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
 _STEPS = np.arange(1 << 16, dtype=np.uint64) * _GOLD
@@ -108,14 +110,22 @@ def bands(sig: np.ndarray, per: int = BAND) -> np.ndarray:
     return out + np.arange(out.shape[1], dtype=_U) * _GOLD
 
 
+def sketches(sig: np.ndarray, longs: int = SKETCH) -> np.ndarray:
+    """(texts, longs) of 63 bits each: two bits of every slot."""
+    two = mix(sig.view(_U))
+    bits = np.concatenate([two & _U(1), (two >> _U(1)) & _U(1)], 1)[:, : 63 * longs].reshape(len(sig), longs, 63)
+    return (bits << np.arange(63, dtype=_U)).sum(2, dtype=_U).view(np.int64)
+
+
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, 128):
         data, off = large_binary_column(b, "text")
         doc, x, n = shingles(data, off)
-        h = bands(signatures(doc, x, n, b.num_rows))
+        sig = signatures(doc, x, n, b.num_rows)
+        h, k = bands(sig), sketches(sig)
         size = np.bincount(doc, n, b.num_rows).astype(np.int64)
         ends = np.arange(b.num_rows + 1, dtype=np.int32) * h.shape[1]
-        yield pa.record_batch({"doc_id": b.column("doc_id"), "key": b.column("key"), "size": size, "bands": pa.ListArray.from_arrays(ends, h.ravel().view(np.int64))})
+        yield pa.record_batch({"doc_id": b.column("doc_id"), "key": b.column("key"), "size": size, "bands": pa.ListArray.from_arrays(ends, h.ravel().view(np.int64)), "sketch": pa.ListArray.from_arrays(np.arange(b.num_rows + 1, dtype=np.int32) * SKETCH, k.ravel())})
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,6 +163,17 @@ def _verify(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
     return stored(both.select("a", "b", "bag_a", "bag_b").mapInArrow(run, "a binary, b binary"))
 
 
+def _alike(a: str, b: str, least: float) -> Column:
+    """Whether two sketches can be those of bags of similarity `least`: a slot that differs has each of its two bits differ
+    by chance, so the share of differing bits has mean (1 - s) / 2; five standard deviations are allowed (3e-7 is lost)."""
+    slots = 63 * SKETCH / 2
+    mean = (1 + least) / 2
+    spread = ((least + (1 - least) * 0.375 - mean * mean) / slots) ** 0.5
+    most = int(63 * SKETCH * (1 - mean + 5 * spread)) + 1
+    differ = sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(SKETCH)), F.lit(0))
+    return differ <= most
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """Adds key, 16 bytes that equal texts share."""
     return docs.withColumn("key", F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))))
@@ -161,13 +182,16 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _classed(docs: DataFrame, least: float) -> DataFrame:
     """(doc_id, key, least, class_id) of each row: least is the smallest id with the text, class_id the class's."""
     docs = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    rows = stored(docs.mapInArrow(_describe, "doc_id long, key binary, size long, bands array<long>"))
-    texts = stored(rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    rows = stored(docs.mapInArrow(_describe, "doc_id long, key binary, size long, bands array<long>, sketch array<long>"))
+    texts = stored(rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     named = texts.filter("size > 0").select("key", "size", F.explode("bands").alias("band"))
     shared = named.groupBy("band").agg(F.min(F.struct("key", "size")).alias("s"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     buckets = stored(named.join(shared.select("band", F.col("s.key").alias("leader"), F.col("s.size").alias("leader_size")), "band"))
     fits = F.least("size", "leader_size") >= least * F.greatest("size", "leader_size")
     pairs = stored(buckets.filter((F.col("key") != F.col("leader")) & fits).select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct())
+    for end in ("a", "b"):
+        pairs = pairs.join(texts.select(F.col("key").alias(end), F.col("sketch").alias(f"sketch_{end}")), end)
+    pairs = stored(pairs.filter(_alike("sketch_a", "sketch_b", least)).select("a", "b"))
     # whole bags of the texts that share a band, one row each, and nothing of the others
     wanted = buckets.select("key").distinct().join(texts.select("key", "least"), "key")
     one = (docs["key"] == wanted["key"]) & docs["doc_id"].eqNullSafe(wanted["least"])
@@ -178,10 +202,10 @@ def _classed(docs: DataFrame, least: float) -> DataFrame:
     part = buckets.select("band", "key", "size").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     sizes = part.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
     most = sizes.groupBy("band").agg(F.max(F.struct("n", "root")).alias("m"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("band", F.col("m.root").alias("main"))
-    part = stored(part.join(most, "band"))
-    out = part.filter("root <> main").select("band", F.col("key").alias("x"), F.col("root").alias("rx"), F.col("size").alias("sx"))
+    part = stored(part.join(most, "band").join(texts.select("key", "sketch"), "key"))
+    out = part.filter("root <> main").select("band", F.col("key").alias("x"), F.col("root").alias("rx"), F.col("size").alias("sx"), F.col("sketch").alias("kx"))
     near = F.least("size", "sx") >= least * F.greatest("size", "sx")
-    again = part.join(out, "band").filter((F.col("root") != F.col("rx")) & near & (F.col("key") != F.col("x")))
+    again = part.join(out, "band").filter((F.col("root") != F.col("rx")) & near & (F.col("key") != F.col("x")) & _alike("sketch", "kx", least))
     again = again.select(F.least("key", "x").alias("a"), F.greatest("key", "x").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     more = _verify(stored(again), bags, least)
     if more.limit(1).count():

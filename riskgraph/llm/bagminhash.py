@@ -12,11 +12,14 @@ Intervals wholly above the count are never entered, points of the one cut by it
 time is past the document's largest kept time, so a document costs little more than its number of shingles.
 
 Equal texts are one class first. Signatures are cut into bands; texts that share a band and whose bags' sizes
-allow it are candidates. Two bits of every slot make a sketch, and pairs whose sketches can't be those of near
-duplicates go before any bag is read, so a passage that many texts share costs no rows. A bucket never gives all its pairs: first each member is verified against the bucket's
-smallest member, and links are joined to components. Where a bucket still spans several components, the members outside
-its largest one are verified against all that are not in their component. Pairs left out lie in one component
-already, so the components are those of all candidate links. Verification is exact, on whole bags.
+allow it are candidates. Two sketches rule pairs out before any bag is read, so a passage that many texts share costs no
+rows: two bits of every slot, and an odd sketch of the bag (Mitzenmacher et al. 2014: each occurrence of a shingle flips
+one of 1024 bits), whose differing bits are never more than the occurrences by which two bags differ. A bucket never
+gives all its pairs: first each member is verified against the bucket's smallest member, and links are joined to
+components. Where a bucket still spans several components, the members outside its largest one are compared by sketch
+with all that are not in their component; each text's closest candidate is verified, and then the candidates that still
+join two components. Pairs left out lie in one component already, so the components are those of all candidate links.
+Verification is exact, on whole bags.
 
 Cases: null and empty texts are equal to each other; a null doc_id gives null ids only if its class has no other; repeated
 rows each get a row; an empty table gives an empty result; other columns are ignored.
@@ -35,6 +38,7 @@ from .common import components, large_binary_column, mix, slices, stored, table,
 
 BANDS, BAND = 42, 6
 SKETCH = 8  # longs of 63 bits: two bits of each of the 252 slots
+ODD = 16  # longs of 64 bits: parities of shingle occurrences
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
 _STEPS = np.arange(1 << 16, dtype=np.uint64) * _GOLD
@@ -117,15 +121,29 @@ def sketches(sig: np.ndarray, longs: int = SKETCH) -> np.ndarray:
     return (bits << np.arange(63, dtype=_U)).sum(2, dtype=_U).view(np.int64)
 
 
+def odd_sketches(doc: np.ndarray, shingle: np.ndarray, count: np.ndarray, texts: int, longs: int = ODD) -> np.ndarray:
+    """(texts, longs): each occurrence of a shingle flips one bit. Equal occurrences cancel, so two texts' sketches differ
+    in at most as many bits as their bags differ in occurrences."""
+    d, x = np.repeat(doc, count), np.repeat(shingle, count)
+    nth = np.arange(len(d)) - np.repeat(np.cumsum(count) - count, count)
+    place = (mix(x + nth.astype(_U) * _GOLD) % _U(64 * longs)).astype(np.int64)
+    flips = np.bincount(d * (64 * longs) + place, minlength=texts * 64 * longs)
+    return np.packbits((flips & 1).astype(np.uint8)).view(np.int64).reshape(texts, longs)
+
+
+def _lists(values: np.ndarray) -> pa.ListArray:
+    """A list of each row of values."""
+    return pa.ListArray.from_arrays(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1], values.ravel())
+
+
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, 128):
         data, off = large_binary_column(b, "text")
         doc, x, n = shingles(data, off)
         sig = signatures(doc, x, n, b.num_rows)
-        h, k = bands(sig), sketches(sig)
         size = np.bincount(doc, n, b.num_rows).astype(np.int64)
-        ends = np.arange(b.num_rows + 1, dtype=np.int32) * h.shape[1]
-        yield pa.record_batch({"doc_id": b.column("doc_id"), "key": b.column("key"), "size": size, "bands": pa.ListArray.from_arrays(ends, h.ravel().view(np.int64)), "sketch": pa.ListArray.from_arrays(np.arange(b.num_rows + 1, dtype=np.int32) * SKETCH, k.ravel())})
+        odd = odd_sketches(doc, x, n, b.num_rows)
+        yield pa.record_batch({"doc_id": b.column("doc_id"), "key": b.column("key"), "size": size, "bands": _lists(bands(sig).view(np.int64)), "sketch": _lists(sketches(sig)), "odd": _lists(odd)})
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,15 +181,29 @@ def _verify(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
     return stored(both.select("a", "b", "bag_a", "bag_b").mapInArrow(run, "a binary, b binary"))
 
 
+def _differ(a: str, b: str, longs: int) -> Column:
+    """In how many bits two arrays of longs differ."""
+    return sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(longs)), F.lit(0))
+
+
 def _alike(a: str, b: str, least: float) -> Column:
-    """Whether two sketches can be those of bags of similarity `least`: a slot that differs has each of its two bits differ
-    by chance, so the share of differing bits has mean (1 - s) / 2; five standard deviations are allowed (3e-7 is lost)."""
+    """Whether two texts (columns size_a, sketch_a, odd_a and so on) can have similarity `least`.
+
+    A slot that differs has each of its two bits differ by chance, so the share of differing bits has mean (1 - s) / 2;
+    five standard deviations are allowed (3e-7 is lost). Bags of n occurrences together that are so similar differ in at
+    most n (1 - least) / (1 + least) of them; as many bits may differ in the odd sketches, or, for long texts, what so
+    many flips of random bits give plus six standard deviations (1e-9 is lost).
+    """
+    size_a, size_b = F.col(f"size_{a}"), F.col(f"size_{b}")
     slots = 63 * SKETCH / 2
     mean = (1 + least) / 2
     spread = ((least + (1 - least) * 0.375 - mean * mean) / slots) ** 0.5
     most = int(63 * SKETCH * (1 - mean + 5 * spread)) + 1
-    differ = sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(SKETCH)), F.lit(0))
-    return differ <= most
+    flips = (size_a + size_b) * ((1 - least) / (1 + least))
+    p = (1 - F.exp(flips * (-2.0 / (64 * ODD)))) / 2
+    bound = F.least(flips, p * (64 * ODD) + 6 * F.sqrt(p * (1 - p) * (64 * ODD))) + 1e-6
+    fits = F.least(size_a, size_b) >= least * F.greatest(size_a, size_b)
+    return fits & (_differ(f"sketch_{a}", f"sketch_{b}", SKETCH) <= most) & (_differ(f"odd_{a}", f"odd_{b}", ODD) <= bound)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -182,32 +214,40 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _classed(docs: DataFrame, least: float) -> DataFrame:
     """(doc_id, key, least, class_id) of each row: least is the smallest id with the text, class_id the class's."""
     docs = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    rows = stored(docs.mapInArrow(_describe, "doc_id long, key binary, size long, bands array<long>, sketch array<long>"))
-    texts = stored(rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
-    named = texts.filter("size > 0").select("key", "size", F.explode("bands").alias("band"))
-    shared = named.groupBy("band").agg(F.min(F.struct("key", "size")).alias("s"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    buckets = stored(named.join(shared.select("band", F.col("s.key").alias("leader"), F.col("s.size").alias("leader_size")), "band"))
-    fits = F.least("size", "leader_size") >= least * F.greatest("size", "leader_size")
-    pairs = stored(buckets.filter((F.col("key") != F.col("leader")) & fits).select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct())
-    for end in ("a", "b"):
-        pairs = pairs.join(texts.select(F.col("key").alias(end), F.col("sketch").alias(f"sketch_{end}")), end)
-    pairs = stored(pairs.filter(_alike("sketch_a", "sketch_b", least)).select("a", "b"))
+    rows = stored(docs.mapInArrow(_describe, "doc_id long, key binary, size long, bands array<long>, sketch array<long>, odd array<long>"))
+    texts = stored(rows.groupBy("key").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("size", "bands", "sketch", "odd"))))
+    named = texts.filter("size > 0").select("key", F.explode("bands").alias("band"))
+    shared = named.groupBy("band").agg(F.min("key").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    buckets = stored(named.join(shared.drop("n"), "band"))
+
+    def side(name: str) -> DataFrame:
+        return texts.select(F.col("key").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("size", "sketch", "odd")))
+
+    pairs = stored(buckets.filter("key <> leader").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct())
+    pairs = stored(pairs.join(side("a"), "a").join(side("b"), "b").filter(_alike("a", "b", least)).select("a", "b"))
     # whole bags of the texts that share a band, one row each, and nothing of the others
     wanted = buckets.select("key").distinct().join(texts.select("key", "least"), "key")
     one = (docs["key"] == wanted["key"]) & docs["doc_id"].eqNullSafe(wanted["least"])
     bags = stored(docs.join(wanted, one, "left_semi").select("key", "text").mapInArrow(_bags, "key binary, bag binary").dropDuplicates(["key"]))
     links = _verify(pairs, bags, least)
-    roots = components(links)
     # what stars leave open: members outside their bucket's largest component, against all others of the bucket
-    part = buckets.select("band", "key", "size").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    part = buckets.select("band", "key").join(components(links).withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     sizes = part.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
     most = sizes.groupBy("band").agg(F.max(F.struct("n", "root")).alias("m"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("band", F.col("m.root").alias("main"))
-    part = stored(part.join(most, "band").join(texts.select("key", "sketch"), "key"))
-    out = part.filter("root <> main").select("band", F.col("key").alias("x"), F.col("root").alias("rx"), F.col("size").alias("sx"), F.col("sketch").alias("kx"))
-    near = F.least("size", "sx") >= least * F.greatest("size", "sx")
-    again = part.join(out, "band").filter((F.col("root") != F.col("rx")) & near & (F.col("key") != F.col("x")) & _alike("sketch", "kx", least))
-    again = again.select(F.least("key", "x").alias("a"), F.greatest("key", "x").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = _verify(stored(again), bags, least)
+    part = stored(part.join(most, "band"))
+    all_of, out = (part.filter(which).select("band", F.col("key").alias(x), F.col("root").alias(f"root_{x}")).join(side(x), x) for x, which in (("b", "true"), ("a", "root <> main")))
+    open_ = all_of.join(out, "band").filter((F.col("root_a") != F.col("root_b")) & _alike("a", "b", least))
+    open_ = open_.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), _differ("odd_a", "odd_b", ODD).alias("far"))
+    open_ = stored(open_.distinct().join(pairs, ["a", "b"], "left_anti"))
+    # the closest candidate of each text joins most components, and few candidates are left to verify
+    ends = open_.select(F.explode(F.array("a", "b")).alias("key"), F.struct("far", "a", "b").alias("pair"))
+    first = stored(ends.groupBy("key").agg(F.min("pair").alias("pair")).select("pair.a", "pair.b").distinct())
+    links = links.unionByName(_verify(first, bags, least))
+    roots = stored(components(links))
+    for end in ("a", "b"):
+        open_ = open_.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+    rest = open_.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b").join(first, ["a", "b"], "left_anti")
+    more = _verify(stored(rest), bags, least)
     if more.limit(1).count():
         roots = components(links.unionByName(more))
     found = texts.select("key", "least").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))

@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 
-from riskgraph.llm.bagminhash import _bags, classes, keep_one, op5_bagminhash, shingles, signatures, similarity
+from riskgraph.llm.bagminhash import _bags, classes, keep_one, odd_sketches, op5_bagminhash, shingles, signatures, similarity
 from riskgraph.llm.common import large_binary_column
 
 from .cases import awkward, empty, write
@@ -71,6 +71,18 @@ def test_signatures_are_unbiased():
     assert abs((sig[0] == sig[1]).mean() - jaccard(bag(texts[0]), bag(texts[1]))) < 0.015
 
 
+def test_odd_sketches_differ_in_no_more_bits_than_the_bags():
+    rng = random.Random(4)
+    base = [rng.choice("abcdefgh") for _ in range(400)]
+    texts = [" ".join(base[:k] + [str(rng.random()) for _ in range(k // 8)] + base[k:]) for k in range(0, 400, 25)] + [""]
+    doc, x, n = shingles(*large_binary_column(pa.record_batch({"text": texts}), "text"))
+    got = np.unpackbits(odd_sketches(doc, x, n, len(texts)).view(np.uint8), axis=1)
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts):
+            apart = sum(((bag(a) - bag(b)) + (bag(b) - bag(a))).values())
+            assert (got[i] != got[j]).sum() <= apart
+
+
 def test_whole_table_against_brute_force(spark):
     d = "/root/testdata/sf0.01"
     docs = [tuple(r) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]

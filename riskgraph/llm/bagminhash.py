@@ -182,12 +182,12 @@ def _verify(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
 
 
 def _differ(a: str, b: str, longs: int) -> Column:
-    """In how many bits two arrays of longs differ."""
-    return sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(longs)), F.lit(0))
+    """In how many bits two sketches (columns a0, a1, ... and b0, b1, ...) differ."""
+    return sum((F.bit_count(F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}"))) for k in range(longs)), F.lit(0))
 
 
 def _alike(a: str, b: str, least: float) -> Column:
-    """Whether two texts (columns size_a, sketch_a, odd_a and so on) can have similarity `least`.
+    """Whether two texts (columns size_a, sketch_a0, odd_a0 and so on) can have similarity `least`.
 
     A slot that differs has each of its two bits differ by chance, so the share of differing bits has mean (1 - s) / 2;
     five standard deviations are allowed (3e-7 is lost). Bags of n occurrences together that are so similar differ in at
@@ -221,7 +221,8 @@ def _classed(docs: DataFrame, least: float) -> DataFrame:
     buckets = stored(named.join(shared.drop("n"), "band"))
 
     def side(name: str) -> DataFrame:
-        return texts.select(F.col("key").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("size", "sketch", "odd")))
+        longs = [F.col(c)[k].alias(f"{c}_{name}{k}") for c, n in (("sketch", SKETCH), ("odd", ODD)) for k in range(n)]
+        return texts.select(F.col("key").alias(name), F.col("size").alias(f"size_{name}"), *longs)
 
     pairs = stored(buckets.filter("key <> leader").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct())
     pairs = stored(pairs.join(side("a"), "a").join(side("b"), "b").filter(_alike("a", "b", least)).select("a", "b"))
@@ -231,25 +232,28 @@ def _classed(docs: DataFrame, least: float) -> DataFrame:
     bags = stored(docs.join(wanted, one, "left_semi").select("key", "text").mapInArrow(_bags, "key binary, bag binary").dropDuplicates(["key"]))
     links = _verify(pairs, bags, least)
     # what stars leave open: members outside their bucket's largest component, against all others of the bucket
-    part = buckets.select("band", "key").join(components(links).withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    roots = stored(components(links))
+    part = buckets.select("band", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     sizes = part.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
     most = sizes.groupBy("band").agg(F.max(F.struct("n", "root")).alias("m"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("band", F.col("m.root").alias("main"))
     part = stored(part.join(most, "band"))
-    all_of, out = (part.filter(which).select("band", F.col("key").alias(x), F.col("root").alias(f"root_{x}")).join(side(x), x) for x, which in (("b", "true"), ("a", "root <> main")))
-    open_ = all_of.join(out, "band").filter((F.col("root_a") != F.col("root_b")) & _alike("a", "b", least))
+    all_of, out = (part.filter(which).select("band", F.col("key").alias(x), F.col("root").alias(f"root_{x}"), F.col("main").alias(f"main_{x}")).join(side(x), x) for x, which in (("b", "true"), ("a", "root <> main")))
+    once = (F.col("root_b") == F.col("main_b")) | (F.col("a") < F.col("b"))  # else both ends are outside, and each would find the other
+    open_ = all_of.join(out.drop("main_a"), "band").filter((F.col("root_a") != F.col("root_b")) & once & _alike("a", "b", least))
     open_ = open_.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), _differ("odd_a", "odd_b", ODD).alias("far"))
     open_ = stored(open_.distinct().join(pairs, ["a", "b"], "left_anti"))
     # the closest candidate of each text joins most components, and few candidates are left to verify
     ends = open_.select(F.explode(F.array("a", "b")).alias("key"), F.struct("far", "a", "b").alias("pair"))
     first = stored(ends.groupBy("key").agg(F.min("pair").alias("pair")).select("pair.a", "pair.b").distinct())
-    links = links.unionByName(_verify(first, bags, least))
-    roots = stored(components(links))
+    stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))  # what is known, in the fewest links
+    roots = stored(components(stars.unionByName(_verify(first, bags, least))))
+    stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
     for end in ("a", "b"):
         open_ = open_.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
     rest = open_.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b").join(first, ["a", "b"], "left_anti")
     more = _verify(stored(rest), bags, least)
     if more.limit(1).count():
-        roots = components(links.unionByName(more))
+        roots = components(stars.unionByName(more))
     found = texts.select("key", "least").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     ids = found.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "key")).alias("m"))
     by_text = found.join(ids, "root").select("key", "least", F.col("m.least").alias("class_id"), F.col("m.key").alias("best"))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, large_binary_column, mix, slices, stored, table, word_hashes
+from .common import components, forest, large_binary_column, mix, slices, stored, table, word_hashes
 
 BANDS, BAND = 42, 6
 SKETCH = 8  # longs of 63 bits: two bits of each of the 252 slots
@@ -169,16 +169,17 @@ def similarity(a: bytes, b: bytes) -> float:
 
 
 def _verify(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose bags are at least so similar."""
+    """The rows of pairs (a, b, other columns) whose bags are at least so similar."""
+    names = pairs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 512):
             ok = [similarity(x, y) >= least for x, y in zip(b.column("bag_a").to_pylist(), b.column("bag_b").to_pylist(), strict=True)]
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            yield b.select(names).filter(pa.array(ok, pa.bool_()))
 
     both = pairs.join(bags.select(F.col("key").alias("a"), F.col("bag").alias("bag_a")), "a")
     both = both.join(bags.select(F.col("key").alias("b"), F.col("bag").alias("bag_b")), "b")
-    return stored(both.select("a", "b", "bag_a", "bag_b").mapInArrow(run, "a binary, b binary"))
+    return stored(both.select(*names, "bag_a", "bag_b").mapInArrow(run, pairs.select(*names).schema), narrow=True)
 
 
 def _differ(a: str, b: str, longs: int) -> Column:
@@ -224,7 +225,7 @@ def _classed(docs: DataFrame, least: float) -> DataFrame:
         longs = [F.col(c)[k].alias(f"{c}_{name}{k}") for c, n in (("sketch", SKETCH), ("odd", ODD)) for k in range(n)]
         return texts.select(F.col("key").alias(name), F.col("size").alias(f"size_{name}"), *longs)
 
-    pairs = stored(buckets.filter("key <> leader").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct())
+    pairs = buckets.filter("key <> leader").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
     pairs = stored(pairs.join(side("a"), "a").join(side("b"), "b").filter(_alike("a", "b", least)).select("a", "b"))
     # whole bags of the texts that share a band, one row each, and nothing of the others
     wanted = buckets.select("key").distinct().join(texts.select("key", "least"), "key")
@@ -232,7 +233,7 @@ def _classed(docs: DataFrame, least: float) -> DataFrame:
     bags = stored(docs.join(wanted, one, "left_semi").select("key", "text").mapInArrow(_bags, "key binary, bag binary").dropDuplicates(["key"]))
     links = _verify(pairs, bags, least)
     # what stars leave open: members outside their bucket's largest component, against all others of the bucket
-    roots = stored(components(links))
+    roots = stored(components(links), narrow=True)
     part = buckets.select("band", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     sizes = part.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
     most = sizes.groupBy("band").agg(F.max(F.struct("n", "root")).alias("m"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("band", F.col("m.root").alias("main"))
@@ -240,21 +241,24 @@ def _classed(docs: DataFrame, least: float) -> DataFrame:
     all_of, out = (part.filter(which).select("band", F.col("key").alias(x), F.col("root").alias(f"root_{x}"), F.col("main").alias(f"main_{x}")).join(side(x), x) for x, which in (("b", "true"), ("a", "root <> main")))
     once = (F.col("root_b") == F.col("main_b")) | (F.col("a") < F.col("b"))  # else both ends are outside, and each would find the other
     open_ = all_of.join(out.drop("main_a"), "band").filter((F.col("root_a") != F.col("root_b")) & once & _alike("a", "b", least))
-    open_ = open_.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), _differ("odd_a", "odd_b", ODD).alias("far"))
+    swap = F.col("a") > F.col("b")
+    ends = [F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("root_a", "root_b"), ("root_b", "root_a"))]
+    open_ = open_.select(*ends, _differ("odd_a", "odd_b", ODD).alias("far"))
     open_ = stored(open_.distinct().join(pairs, ["a", "b"], "left_anti"))
     # the closest candidate of each text joins most components, and few candidates are left to verify
-    ends = open_.select(F.explode(F.array("a", "b")).alias("key"), F.struct("far", "a", "b").alias("pair"))
-    first = stored(ends.groupBy("key").agg(F.min("pair").alias("pair")).select("pair.a", "pair.b").distinct())
-    stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))  # what is known, in the fewest links
-    roots = stored(components(stars.unionByName(_verify(first, bags, least))))
-    stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    ends = open_.select(F.explode(F.array("a", "b")).alias("key"), F.struct("far", "a", "b", "root_a", "root_b").alias("pair"))
+    first = stored(ends.groupBy("key").agg(F.min("pair").alias("pair")).select("pair.a", "pair.b", "pair.root_a", "pair.root_b").distinct(), narrow=True)
+    joined = _verify(first, bags, least).select(F.greatest("root_a", "root_b").alias("u"), F.least("root_a", "root_b").alias("v"))
+    # a part of what these join is enough to leave candidates out
+    near = stored(joined.distinct().mapInArrow(forest, joined.schema).groupBy("u").agg(F.min("v").alias("v")), narrow=True)
+    rest = open_.drop("far").join(first, ["a", "b"], "left_anti")
     for end in ("a", "b"):
-        open_ = open_.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
-    rest = open_.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b").join(first, ["a", "b"], "left_anti")
-    more = _verify(stored(rest), bags, least)
-    if more.limit(1).count():
-        roots = components(stars.unionByName(more))
+        rest = rest.join(near.select(F.col("u").alias(f"root_{end}"), F.col("v").alias(f"near_{end}")), f"root_{end}", "left")
+    rest = rest.filter(F.coalesce("near_a", "root_a") != F.coalesce("near_b", "root_b")).select("a", "b", "root_a", "root_b")
+    more = _verify(stored(rest, narrow=True), bags, least)
+    tops = components(joined.unionByName(more.select(F.col("root_a").alias("u"), F.col("root_b").alias("v"))), "u", "v")
     found = texts.select("key", "least").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    found = found.join(tops.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("key", "least", F.coalesce("top", "root").alias("root"))
     ids = found.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "key")).alias("m"))
     by_text = found.join(ids, "root").select("key", "least", F.col("m.least").alias("class_id"), F.col("m.key").alias("best"))
     return rows.select("doc_id", "key").join(by_text, "key")

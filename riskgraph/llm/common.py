@@ -29,9 +29,14 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Writes a table into the shared folder and reads it back: cuts lineage, survives lost executors."""
+def stored(df: DataFrame, narrow: bool = False) -> DataFrame:
+    """Writes a table into the shared folder and reads it back: cuts lineage, survives lost executors.
+
+    narrow: for tables of a few short columns, at most eight tasks a core write it, so that it has few small files.
+    """
     spark = df.sparkSession
+    if narrow:
+        df = df.coalesce(8 * max(1, spark.sparkContext.defaultParallelism))
     path = f"{shared_dir(spark)}/riskgraph-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -124,16 +129,58 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield b.slice(k, rows)
 
 
+def forest(batches: Iterator[pa.RecordBatch], most: int = 1 << 17) -> Iterator[pa.RecordBatch]:
+    """Stars around the smallest nodes that join what every `most` edges (u, v) join: never more edges than come in."""
+    root: dict = {}
+    held = 0
+
+    def find(x):
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = root[up]
+            x = up
+        return x
+
+    def stars(schema: pa.Schema) -> pa.RecordBatch:
+        edges = [(u, c) for u in list(root) if (c := find(u)) != u]
+        columns = [pa.array([e[k] for e in edges], schema.field(name).type) for k, name in enumerate(("u", "v"))]
+        root.clear()
+        return pa.record_batch(columns, names=["u", "v"])
+
+    schema = None
+    for b in batches:
+        schema = b.schema
+        for u, v in zip(b.column("u").to_pylist(), b.column("v").to_pylist(), strict=True):
+            u, v = find(u), find(v)
+            if u != v:
+                root[max(u, v)] = min(u, v)
+        held += b.num_rows
+        if held >= most:
+            held = 0
+            yield stars(schema)
+    if root:
+        yield stars(schema)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): the smallest node reachable over undirected edges, for every node of an edge.
 
-    Alternates large-star and small-star steps (Kiveris et al. 2014): each edge list is written to the shared
-    folder, so lineage stays short, and stars never gather a node's neighbours in one row.
+    Each task's edges shrink to a forest of stars, and large-star and small-star steps alternate (Kiveris et al.
+    2014) until all edges are stars. Each edge list is written to the shared folder, so lineage stays short, and stars
+    never gather a node's neighbours in one row.
     """
-    cur = stored(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
-    )
+
+    def kept(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.filter("u <> v")
+        return stored(pairs.mapInArrow(forest, pairs.schema).distinct(), narrow=True)
+
+    cur = kept(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")))
     while True:
+        # stars: no node is both an end and a centre, none is the end of two edges
+        part = cur.select(F.col("u").alias("n"), F.lit(1).alias("ends"), F.lit(0).alias("centre"))
+        part = part.unionByName(cur.select(F.col("v").alias("n"), F.lit(0).alias("ends"), F.lit(1).alias("centre")))
+        part = part.groupBy("n").agg(F.sum("ends").alias("ends"), F.max("centre").alias("centre"))
+        if not part.filter("ends + centre > 1 AND ends > 0").agg(F.count(F.lit(1))).first()[0]:
+            break
         # large-star: larger neighbours of each node go to the smallest neighbour (or itself)
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -141,11 +188,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # small-star: smaller neighbours and the node itself go to the smallest
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        nxt = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
-        same = [F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))]
-        if nxt.agg(*same).first() == cur.agg(*same).first():
-            break
-        cur = nxt
+        cur = kept(small.unionByName(low.select("u", F.col("m").alias("v"))))
     return cur.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )

@@ -2,14 +2,13 @@
 
 Training reads every training text:
 
-1. Word counts c, their sum N and the number of words V (words are 64-bit hashes; two words of a vocabulary of
-   ten million share one with probability about 3e-6).
-2. Symbols are the words with c >= N / symbol_bound: at most symbol_bound of them, so the table that scoring
-   broadcasts has a proven size. All other words are emitted through the escape below, with their exact counts.
-3. For depth 1, 2, ...: counts of (context, next symbol), summed before and in a shuffle. Contexts with at
-   least N / context_bound occurrences are candidates, pairs with at least N / pair_bound occurrences (and 2)
-   are held; both are relative to N, which bounds the tree whatever the input's size.
-4. Divergence test: a context stays if the log-likelihood that its next-symbol distribution gains over its
+1. Word counts c, their sum N and the number of words V (words are 64-bit hashes, and so are sequences of words; two
+   of ten million share one with probability about 3e-6).
+2. For lengths 2 .. max_depth + 1: counts of the sequences (a context and the word after it), summed before and in a
+   shuffle. Those with at least `least` occurrences are held, whatever N is, so the tree grows with the input. A
+   sequence reaches the shuffle only if a filter of fixed size may hold both of its parts of one word less; the
+   filter never denies a held one, so it saves work and drops nothing.
+3. Divergence test: a context stays if the log-likelihood that its next-word distribution gains over its
    suffix's (count times Kullback-Leibler divergence) is at least min_gain, or if a longer context needs it.
 
 A state's distribution is P(x|s) = max(n(sx) - discount, 0) / n(s) for held pairs, plus the mass left over times
@@ -17,13 +16,18 @@ P(x | suffix of s); the empty state has the add-one distribution (c + 1) / (N +
 distribution sums to one, unknown words sharing 1 / (N + V + 1). A text's score adds log10 P(x|s) with s the
 longest suffix of the words before x in the tree; the end of a text is a symbol, contexts don't cross texts.
 
+Each kept context adds the log of its mass left over to each token after it, and each held pair of a kept context takes
+that back and adds log10 of P(x|s) / P(x | suffix of s). So a text's score is its base plus a sum of one value for
+each sequence in it. All values lie in a written table that scoring joins by a shuffle; words and sequences with a
+share of at least 1 / head_bound, of which there are at most head_bound a length, are broadcast as a shortcut.
+
 Cases: a null or empty text has the end token alone; a null doc_id counts as the empty string for the fold;
 repeated rows each get their row; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,25 +35,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import large_binary_column, slices, stored, table, word_hashes
+from .common import large_binary_column, mix, slices, stored, table, word_hashes
 
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
-_BITS = 21
-_SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, tail_hash array<long>, tail_n array<long>"
+_R = np.uint64(0x9E3779B97F4A7C15)
+_FILTER_WORDS = 21
+_SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, tail array<struct<h: long, n: int, word: boolean>>"
 
 
 @dataclass
 class Tree:
-    """Sorted arrays: symbol hashes and counts; per depth, contexts' keys and ids, pairs' keys and log10 values."""
+    """total and distinct words; values (h, c, f, value): each word's count c, each sequence's count f and value."""
 
     total: int
     distinct: int
-    floor: int
-    symbols: np.ndarray
-    counts: np.ndarray
-    contexts: list[tuple[np.ndarray, np.ndarray]]
-    pairs: list[tuple[np.ndarray, np.ndarray]]
-    escape: list[np.ndarray]
+    longest: int
+    values: DataFrame
 
     @property
     def unknown(self) -> float:
@@ -63,6 +64,21 @@ def tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return out, at + np.arange(len(at))
 
 
+def _key(s: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """The key of a sequence from those of all but its last and all but its first word."""
+    return mix(s * _R + u)
+
+
+def sequences(tok: np.ndarray, at: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length the keys of the sequences that end at each token, and the tokens where one text holds them."""
+    left = np.arange(len(tok)) - np.repeat(at[:-1], np.diff(at))
+    key = tok
+    for n in range(1, longest + 1):
+        if n > 1:
+            key = np.concatenate([np.zeros(1, np.uint64), _key(key[:-1], key[1:])])
+        yield key, np.flatnonzero(left >= n - 1)
+
+
 def _find(keys: np.ndarray, want: np.ndarray) -> np.ndarray:
     """Index of each wanted key in sorted keys, or -1."""
     if not len(keys):
@@ -72,43 +88,33 @@ def _find(keys: np.ndarray, want: np.ndarray) -> np.ndarray:
     return np.where(keys[i] == want, i, -1)
 
 
-def _symbols(tok: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-    """1.. for a symbol, 0 for any other word."""
-    u, back = np.unique(tok, return_inverse=True)
-    return (_find(symbols, u) + 1)[back]
-
-
-def _contexts(sym: np.ndarray, at: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
-    """For each depth the id of the context before each token, -1 without one."""
-    left = np.arange(len(sym)) - np.repeat(at[:-1], np.diff(at))
-    out, have = [], np.zeros(len(sym), np.int64)
-    for d, (keys, ids) in enumerate(levels):
-        ok = (left > d) & (have >= 0)
-        w = np.zeros(len(sym), np.int64)
-        w[d + 1 :] = sym[: len(sym) - d - 1]
-        ok &= w > 0
-        i = np.full(len(sym), -1, np.int64)
-        where = np.flatnonzero(ok)
-        f = _find(keys, (have[where] << _BITS) | w[where])
-        i[where] = np.where(f >= 0, ids[f] if len(ids) else -1, -1)
-        out.append(have := i)
+def _filter(keys: DataFrame) -> np.ndarray:
+    """One bit for each key h in a table of fixed size: a set bit may be another key's."""
+    got = keys.groupBy(F.expr(f"cast(shiftrightunsigned(h, {64 - _FILTER_WORDS}) as int)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("b")).toArrow()
+    out = np.zeros(1 << _FILTER_WORDS, np.uint64)
+    out[got["w"].to_numpy()] = got["b"].to_numpy().view(np.uint64)
     return out
 
 
-def _sum(keys: np.ndarray, counts: np.ndarray | None = None) -> pa.RecordBatch:
-    u, back, n = np.unique(keys, return_inverse=True, return_counts=True)
-    if counts is not None:
-        n = np.bincount(back, counts, len(u)).astype(np.int64)
-    return pa.record_batch({"h": u.view(np.int64), "c": n.astype(np.int64)})
+def _may(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return (bits[keys >> np.uint64(64 - _FILTER_WORDS)] >> (keys & np.uint64(63))) & np.uint64(1) > 0
+
+
+def _sum(s: np.ndarray, u: np.ndarray, c: np.ndarray | None = None) -> pa.RecordBatch:
+    _, first, back, n = np.unique(_key(s, u), return_index=True, return_inverse=True, return_counts=True)
+    if c is not None:
+        n = np.bincount(back, c, len(first))
+    return pa.record_batch({"s": s[first].view(np.int64), "u": u[first].view(np.int64), "c": n.astype(np.int64)})
 
 
-def _gather(batches: Iterator[pa.RecordBatch], keys_of, flush: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Sums counts of keys within a task, never holding more than about flush of them."""
+def _gather(batches: Iterator[pa.RecordBatch], parts_of: Callable, flush: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Sums counts of pairs of keys within a task, never holding more than about flush of them."""
     held: list[pa.RecordBatch] = []
     n = 0
     for b in slices(batches, 1024):
-        if len(k := keys_of(b)):
-            held.append(r := _sum(k))
+        s, u = parts_of(b)
+        if len(s):
+            held.append(r := _sum(s, u))
             n += r.num_rows
         if n > flush:
             one = _merge(held)
@@ -123,180 +129,130 @@ def _gather(batches: Iterator[pa.RecordBatch], keys_of, flush: int = 4_000_000)
 
 def _merge(held: list[pa.RecordBatch]) -> pa.RecordBatch:
     t = pa.Table.from_batches(held)
-    return _sum(t["h"].to_numpy(), t["c"].to_numpy())
+    return _sum(t["s"].to_numpy().view(np.uint64), t["u"].to_numpy().view(np.uint64), t["c"].to_numpy())
 
 
-def train(
-    texts: DataFrame, max_depth: int = 3, symbol_bound: int = 1 << 20, context_bound: int = 1 << 16,
-    pair_bound: int = 1 << 20, min_gain: float = 12.0, discount: float = 0.75,
-) -> tuple[Tree, DataFrame]:
-    """The tree, and the table (h, c) of all words' counts. texts: column text; null counts as empty."""
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        h = _key(b["s"].to_numpy().view(np.uint64), b["u"].to_numpy().view(np.uint64))
+        yield pa.record_batch([pa.array(h.view(np.int64)), *b.columns], names=["h", *b.schema.names])
+
+
+def train(texts: DataFrame, max_depth: int = 3, least: int = 2, min_gain: float = 12.0, discount: float = 0.75) -> Tree:
+    """The tree. texts: column text; null counts as empty."""
     spark = texts.sparkSession
     texts = texts.select("text")
-    summed = lambda f: texts.mapInArrow(f, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    counts = stored(summed(lambda it: _gather(it, lambda b: tokens(b)[0])))
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("h")).first()
-    floor = max(2, -(-total // symbol_bound))
-    head = counts.filter(F.col("c") >= floor).toPandas()
-    order = np.argsort(head["h"].to_numpy().view(np.uint64))
-    symbols, n = head["h"].to_numpy().view(np.uint64)[order], head["c"].to_numpy()[order]
-    tree = Tree(total, distinct, floor, symbols, n, [], [], [])
-    end = int(_find(symbols, np.array([END]))[0]) + 1
-    # candidates of depth 1: each frequent symbol but the end
-    ok = np.flatnonzero((n >= max(2, total / context_bound)) & (np.arange(len(n)) + 1 != end)) + 1
-    key, level = ok.astype(np.int64), []
-    held: list[dict[str, np.ndarray]] = []
-    for _ in range(max_depth):
-        if not len(key):
-            break
-        level.append((key, np.arange(len(key), dtype=np.int64)))
-        sent = spark.sparkContext.broadcast((symbols, level))
-
-        def pairs(it: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            symbols, level = sent.value
-
-            def keys(b: pa.RecordBatch) -> np.ndarray:
-                tok, at = tokens(b)
-                sym = _symbols(tok, symbols)
-                c = _contexts(sym, at, level)[-1]
-                return ((c << _BITS) | sym)[c >= 0]
-
-            return _gather(it, keys)
-
-        found = stored(summed(pairs))
-        per = found.groupBy(F.shiftright("h", _BITS).alias("s")).agg(F.sum("c").alias("n")).toPandas()
-        size = np.zeros(len(key), np.int64)
-        size[per["s"].to_numpy()] = per["n"].to_numpy()
-        got = found.filter((F.col("c") >= max(2, total / pair_bound)) & (F.col("h").bitwiseAND((1 << _BITS) - 1) > 0)).toPandas().sort_values("h")
-        h, c = got["h"].to_numpy(), got["c"].to_numpy()
-        held.append({"ctx": key, "size": size, "s": h >> _BITS, "x": h & ((1 << _BITS) - 1), "c": c, "h": h})
-        # w + s is a candidate if its count is, and s (its suffix) is a candidate: s followed the context without x
-        now = held[-1]
-        often = (now["c"] >= max(2, total / context_bound)) & (now["x"] != end)
-        key = _longer(held, level, now["s"][often], now["x"][often])
-    _keep(tree, held, min_gain, discount)
-    return tree, counts
-
-
-def _words(held: list[dict], d: int, s: np.ndarray) -> list[np.ndarray]:
-    """The words of contexts s of depth index d, latest first."""
-    k = held[d]["ctx"][s]
-    older = k & ((1 << _BITS) - 1)
-    return [older] if d == 0 else [*_words(held, d - 1, k >> _BITS), older]
-
-
-def _longer(held: list[dict], level: list, s: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Sorted keys (id of the suffix that leaves out the oldest word, oldest word) of the sequences s followed by x."""
-    d = len(held) - 1
-    words = [x, *_words(held, d, s)]  # latest first
-    have, ok = np.zeros(len(x), np.int64), np.ones(len(x), bool)
-    for (keys, _), w in zip(level, words[:-1], strict=True):
-        i = _find(keys, (have << _BITS) | w)
-        ok &= i >= 0
-        have = np.maximum(i, 0)
-    return np.unique(((have << _BITS) | words[-1])[ok])
-
-
-def _keep(tree: Tree, held: list[dict], min_gain: float, discount: float) -> None:
-    """Divergence tests, smoothing, and the arrays that scoring reads."""
-    mask = (1 << _BITS) - 1
-    root = np.concatenate([[0.0], (tree.counts + 1) / (tree.total + tree.distinct + 1)])
-    for d, t in enumerate(held):
-        # a pair's probability under its state, with the suffix's probability below
-        n = np.maximum(t["size"], 1)
-        left = 1 - np.bincount(t["s"], np.maximum(t["c"] - discount, 0), len(n)) / n
-        t["left"] = np.clip(left, 1e-12, 1.0)
-        up = t["ctx"] >> _BITS if d else np.zeros(len(n), np.int64)
-        below = root[t["x"]] if not d else _probability(held, d - 1, up[t["s"]], t["x"], root)
-        t["p"] = np.maximum(t["c"] - discount, 0) / n[t["s"]] + t["left"][t["s"]] * below
-        t["gain"] = np.bincount(t["s"], t["c"] * np.log(t["p"] / below), len(n))
-        rest = np.maximum(t["size"] - np.bincount(t["s"], t["c"], len(n)), 0)
-        t["gain"] += rest * np.log(t["left"])
-        t["keep"], t["up"] = t["gain"] >= min_gain, up
-    for d in range(len(held) - 1, 0, -1):
-        held[d - 1]["keep"][held[d]["up"][held[d]["keep"]]] = True
-    new = np.zeros(1, np.int64)
-    for d, t in enumerate(held):
-        ids = np.cumsum(t["keep"]) - 1
-        key = ((new[t["up"]] if d else 0) << _BITS) | (t["ctx"] & mask)
-        key, val = key[t["keep"]], ids[t["keep"]]
-        order = np.argsort(key)
-        tree.contexts.append((key[order], val[order]))
-        ok = t["keep"][t["s"]]
-        pk = ((ids[t["s"]] << _BITS) | t["x"])[ok]
-        order = np.argsort(pk)
-        tree.pairs.append((pk[order], np.log10(t["p"][ok])[order].astype(np.float64)))
-        tree.escape.append(np.log10(t["left"][t["keep"]]))
-        new = ids
-
-
-def _probability(held: list[dict], d: int, s: np.ndarray, x: np.ndarray, root: np.ndarray) -> np.ndarray:
-    t = held[d]
-    i = _find(t["h"], (s << _BITS) | x)
-    out = np.empty(len(s))
-    hit = i >= 0
-    out[hit] = t["p"][i[hit]]
-    m = ~hit
-    below = root[x[m]] if not d else _probability(held, d - 1, t["up"][s[m]], x[m], root)
-    out[m] = t["left"][s[m]] * below
-    return out
 
+    def words(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in _gather(it, lambda b: (t := tokens(b)[0], np.zeros_like(t))):
+            yield r.select(["s", "c"])
 
-def score_batch(tree: Tree, tok: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per token: symbol (0: not one), log10 of the base (0 where it isn't a symbol), log10 of the model likewise."""
-    sym = _symbols(tok, tree.symbols)
-    base = np.concatenate([[0.0], np.log10(tree.counts + 1) + tree.unknown])[sym]
-    model, done = np.zeros(len(tok)), np.zeros(len(tok), bool)
-    for (keys, logs), escape, c in reversed(list(zip(tree.pairs, tree.escape, _contexts(sym, at, tree.contexts), strict=True))):
-        todo = np.flatnonzero(~done & (c >= 0))
-        i = _find(keys, (c[todo] << _BITS) | sym[todo])
-        hit = (i >= 0) & (sym[todo] > 0)
-        model[todo[hit]] += logs[i[hit]]
-        done[todo[hit]] = True
-        model[todo[~hit]] += escape[c[todo[~hit]]]
-    return sym, base, model + np.where(done, 0.0, base)
-
-
-def score(docs: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
-    """docs: doc_id, text, held_out. Words that aren't symbols are joined with their exact counts by a shuffle,
-    one row a word and text; their log10 counts in score and base_score alike."""
+    counts = stored(texts.mapInArrow(words, "s long, c long").groupBy(F.col("s").alias("h")).agg(F.sum("c").alias("c")))
+    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("h")).first()
+    level = counts.filter(F.col("c") >= least).select("h", "c", ((F.col("c") + 1) / F.lit(float(total + distinct + 1))).alias("p"), F.lit(None).cast("long").alias("u"))
+    pairs: list[DataFrame] = []
+    for length in range(2, max_depth + 2):
+        sent = spark.sparkContext.broadcast(_filter(level))
+
+        def parts(it: Iterator[pa.RecordBatch], sent=sent, length=length) -> Iterator[pa.RecordBatch]:
+            def of(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+                *_, (key, _), (_, at) = sequences(*tokens(b), length)
+                s, u = key[at - 1], key[at]
+                ok = _may(sent.value, s) & _may(sent.value, u)
+                return s[ok], u[ok]
+
+            return _gather(it, of)
+
+        found = texts.mapInArrow(parts, "s long, u long, c long").groupBy("s", "u").agg(F.sum("c").alias("c")).filter(F.col("c") >= least)
+        found = stored(found.mapInArrow(_keyed, "h long, s long, u long, c long"))
+        # a pair's probability under its state, with the suffix's probability below: the suffix's pair is as frequent, so it is held
+        state = found.groupBy("s").agg(F.sum(F.col("c") - discount).alias("mass")).join(level.select(F.col("h").alias("s"), F.col("c").alias("n"), F.col("u").alias("up")), "s")
+        state = state.select("s", "up", "n", F.greatest(1 - F.col("mass") / F.col("n"), F.lit(1e-12)).alias("left"))
+        below = level.select(F.col("h").alias("u"), F.col("p").alias("below"))
+        p = (F.col("c") - discount) / F.col("n") + F.col("left") * F.col("below")
+        level = stored(found.join(state, "s").join(below, "u").select("h", "s", "u", "c", "n", "left", "up", p.alias("p"), "below"))
+        pairs.append(level)
+        if not level.take(1):
+            break
+    values = counts.select("h", "c", F.col("c").alias("f"), F.lit(0.0).alias("value"))
+    for part in _keep(pairs, min_gain):
+        values = values.unionByName(part.select("h", F.lit(None).cast("long").alias("c"), "f", "value"))
+    values = stored(values.groupBy("h").agg(F.max("c").alias("c"), F.max("f").alias("f"), F.sum("value").alias("value")))
+    return Tree(total, distinct, max_depth + 1, values)
+
+
+def _keep(pairs: list[DataFrame], min_gain: float) -> Iterator[DataFrame]:
+    """Divergence tests, the longest contexts first. (h, f, value) of kept contexts, and of their pairs."""
+    longer = None
+    for t in reversed(pairs):
+        gain = F.sum(F.col("c") * F.log(F.col("p") / F.col("below"))) + F.greatest(F.first("n") - F.sum("c"), F.lit(0)) * F.log(F.first("left"))
+        state = t.groupBy("s").agg(F.first("up").alias("up"), F.first("n").alias("n"), F.first("left").alias("left"), gain.alias("gain"))
+        needed = F.col("gain") >= min_gain
+        if longer is not None:
+            state = state.join(longer.select(F.col("up").alias("s")).distinct().withColumn("below", F.lit(True)), "s", "left")
+            needed |= F.col("below").isNotNull()
+        longer = stored(state.filter(needed).select("s", "up", "n", "left"))
+        yield longer.select(F.col("s").alias("h"), F.col("n").alias("f"), F.log10("left").alias("value"))
+        yield t.join(longer.select("s"), "s").select("h", F.col("c").alias("f"), (F.log10(F.col("p") / F.col("below")) - F.log10("left")).alias("value"))
+
+
+def score(docs: DataFrame, tree: Tree, head_bound: int = 1 << 20) -> DataFrame:
+    """docs: doc_id, text, held_out. What isn't in the head is joined with its exact value by a shuffle, one row a
+    sequence and text; words add log10 of their counts to score and base_score alike."""
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(tree)
+    floor = max(2, -(-tree.total // head_bound))
+    head = tree.values.filter(F.col("f") >= floor).select("h", F.coalesce("c", F.lit(0)).alias("c"), "value").toArrow()
+    keys = head["h"].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    rest = _filter(tree.values.filter((F.col("f") < floor) & F.col("c").isNull()))
+    sent = spark.sparkContext.broadcast((keys[order], np.log10(head["c"].to_numpy() + 1.0)[order], head["value"].to_numpy()[order], rest))
+    longest, unknown = tree.longest, tree.unknown
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = sent.value
+        keys, logs, values, rest = sent.value
         for b in slices(it):
             tok, at = tokens(b)
-            sym, base, model = score_batch(tree, tok, at)
-            size = np.diff(at)
-            doc = np.repeat(np.arange(b.num_rows), size)
-            add = lambda v: np.bincount(doc, v, b.num_rows)
-            tail = sym == 0
-            d, h = doc[tail], tok[tail]
+            size, rows = np.diff(at), b.num_rows
+            doc = np.repeat(np.arange(rows), size)
+            base, more, known, left = np.zeros(rows), np.zeros(rows), np.zeros(rows), []
+            for n, (key, where) in enumerate(sequences(tok, at, longest)):
+                key, d = key[where], doc[where]
+                i = _find(keys, key)
+                hit = i >= 0
+                more += np.bincount(d[hit], values[i[hit]], rows)
+                if not n:
+                    base += np.bincount(d[hit], logs[i[hit]] + unknown, rows)
+                    known += np.bincount(d[hit], minlength=rows)
+                    out = ~hit
+                else:
+                    out = ~hit & _may(rest, key)
+                left.append((d[out], key[out], np.full(out.sum(), not n)))
+            d, h, word = (np.concatenate(x) for x in zip(*left, strict=True))
             order = np.lexsort((h, d))
-            d, h = d[order], h[order]
+            d, h, word = d[order], h[order], word[order]
             new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (h[1:] != h[:-1])])) if len(d) else np.zeros(0, np.int64)
             n = np.diff(np.append(new, len(d)))
-            d, h = d[new], np.ascontiguousarray(h[new]).view(np.int64)
-            cut = pa.array(np.searchsorted(d, np.arange(b.num_rows + 1)).astype(np.int32))
+            d, h, word = d[new], np.ascontiguousarray(h[new]).view(np.int64), word[new]
+            tail = pa.StructArray.from_arrays([pa.array(h), pa.array(n.astype(np.int32)), pa.array(word)], ["h", "n", "word"])
+            cut = pa.array(np.searchsorted(d, np.arange(rows + 1)).astype(np.int32))
             yield pa.record_batch({
                 "row": b["row"], "doc_id": b["doc_id"], "held_out": b["held_out"], "n_tokens": size.astype(np.int64),
-                "n_known": add((sym > 0).astype(float)).astype(np.int64), "base_score": add(base), "score": add(model),
-                "tail_hash": pa.ListArray.from_arrays(cut, pa.array(h)),
-                "tail_n": pa.ListArray.from_arrays(cut, pa.array(n.astype(np.int64))),
+                "n_known": known.astype(np.int64), "base_score": base, "score": base + more, "tail": pa.ListArray.from_arrays(cut, tail),
             })
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text", "held_out")
     scored = stored(rows.mapInArrow(run, _SCORED))
-    tail = scored.select("row", F.explode(F.arrays_zip("tail_hash", "tail_n")).alias("t")).select("row", F.col("t.tail_hash").alias("h"), F.col("t.tail_n").alias("n"))
-    tail = tail.join(counts.filter(F.col("c") < tree.floor), "h", "left").groupBy("row").agg(
-        F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("known"),
-        F.sum(F.col("n") * (F.log10(F.coalesce("c", F.lit(0)) + 1.0) + F.lit(tree.unknown))).alias("add"),
+    tail = scored.select("row", F.explode("tail").alias("t")).select("row", "t.h", "t.n", "t.word")
+    base = F.when(F.col("word"), F.col("n") * (F.log10(F.coalesce("c", F.lit(0)) + 1.0) + F.lit(unknown))).otherwise(0.0)
+    tail = tail.join(tree.values.filter(F.col("f") < floor).drop("f"), "h", "left").groupBy("row").agg(
+        F.sum(F.when(F.col("word") & F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("known"),
+        F.sum(base).alias("add"),
+        F.sum(F.col("n") * F.coalesce("value", F.lit(0.0))).alias("more"),
     )
-    add = F.coalesce("add", F.lit(0.0))
-    return scored.drop("tail_hash", "tail_n").join(tail, "row", "left").select(
+    add, more = F.coalesce("add", F.lit(0.0)), F.coalesce("more", F.lit(0.0))
+    return scored.drop("tail").join(tail, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(tree.total).cast("long").alias("train_tokens"), (F.col("base_score") + add).alias("base_score"), (F.col("score") + add).alias("score"),
+        F.lit(tree.total).cast("long").alias("train_tokens"), (F.col("base_score") + add).alias("base_score"), (F.col("score") + add + more).alias("score"),
     )
 
 
@@ -306,5 +262,4 @@ def held_out(doc_id: Column) -> Column:
 
 def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
-    tree, counts = train(docs.filter("not held_out"))
-    return score(docs, tree, counts)
+    return score(docs, train(docs.filter("not held_out")))

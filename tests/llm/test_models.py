@@ -6,6 +6,7 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from riskgraph.llm.lm_scoring import op1_suffix_tree
@@ -40,6 +41,13 @@ def test_suffix_tree(spark, tmp_path):
     assert op1_suffix_tree(spark, write(spark, tmp_path, empty(spark))).count() == 0
 
 
+def test_suffix_tree_keeps_rare_states_of_a_large_corpus(spark, tmp_path):
+    # 24 of 4 million tokens: far below a share of 2**-16, which a state needed before
+    docs = spark.range(64).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 40, F.repeat(F.lit("x "), 100_000)).otherwise("alpha beta").alias("text"))
+    got = op1_suffix_tree(spark, write(spark, tmp_path, docs)).filter("doc_id >= 40").collect()
+    assert len(got) == 24 and all(r.score - r.base_score > 8 for r in got)
+
+
 def test_quality_against_labels(spark, tmp_path):
     d = "/root/testdata/sf0.01"
     both = op6_weak_labels(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").select("keep", "quality").collect()

@@ -2,6 +2,7 @@
 
 import collections
 import math
+import random
 import re
 import zlib
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from riskgraph.llm.lm_scoring import op1_suffix_tree
 from riskgraph.llm.quality import keep_good, op6_weak_labels
-from riskgraph.llm.toxicity import Channel, op9_noisy_channel, trigram_counts
+from riskgraph.llm.toxicity import _HINT, _SUSPECT, Channel, op9_noisy_channel, trigram_counts
 
 from .cases import awkward, empty, write
 
@@ -82,6 +83,12 @@ def test_channel_restores_what_was_written(spark):
         assert c.text(f"so {said} it is").split("\n")[-1] == meant
 
 
+def test_no_suspicious_text_passes_the_gate():
+    pick = random.Random(7)
+    texts = ["so dumba$$ it is", "a$$", "idi07", "tra54", *("".join(pick.choices("ab1$@!|+ .-%é", k=pick.randint(1, 9))) for _ in range(100_000))]
+    assert [x for x in texts if _SUSPECT.search(x) and not _HINT(x)] == []
+
+
 def test_pipeline(spark):
     docs = {r.doc_id for r in spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id").collect()}
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality classifier", "toxicity", "MinHash near-dedup", "packing"]

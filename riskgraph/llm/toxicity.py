@@ -95,7 +95,9 @@ class Channel:
     def restore(self, span: str) -> str:
         got = self.have.get(span)
         if got is None:
-            got = self._decode(span) if len(span) <= 200 else span
+            got = self._decode(span)
+            if len(span) > 200:  # too long to keep
+                return got
             if len(self.have) >= self.cached:
                 self.have.clear()
             self.have[span] = got
@@ -117,10 +119,10 @@ class Channel:
         return out
 
     def _decode(self, span: str) -> str:
-        best = {(0, 0): (0.0, b"")}
+        best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for step in self._lattice(span):
-            new: dict[tuple[int, int], tuple[float, bytes]] = {}
-            for (a, b), (z, said) in best.items():
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (z, before) in best.items():
                 for price, add in step:
                     x, y, cost = a, b, z + price
                     for c in add:
@@ -128,10 +130,15 @@ class Channel:
                         cost += self.cost[x, y, k]
                         x, y = y, k
                     old = new.get((x, y))
-                    if old is None or (cost, said + add) < old:
-                        new[x, y] = (cost, said + add)
+                    if old is None or cost < old[0]:
+                        new[x, y] = (cost, (before, add))
             best = new
-        return min((z + self.cost[a, b, 0], said) for (a, b), (z, said) in best.items())[1].decode(errors="replace")
+        at = min(((z + self.cost[a, b, 0], before) for (a, b), (z, before) in best.items()), key=lambda x: x[0])[1]
+        said = []
+        while at is not None:
+            at, add = at
+            said.append(add)
+        return b"".join(reversed(said)).decode(errors="replace")
 
     def text(self, text: str) -> str:
         """The text with every suspicious span decoded beside what stands there."""

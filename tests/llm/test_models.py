@@ -77,12 +77,23 @@ def test_toxicity_of_awkward_rows(spark, tmp_path):
     assert op9_noisy_channel(spark, write(spark, tmp_path, empty(spark))).count() == 0
 
 
+@pytest.fixture(scope="module")
+def channel(spark):
+    return Channel(trigram_counts(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")))
+
+
 def test_channel_restores_what_was_written(spark):
     c = Channel(trigram_counts(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")))
     for said, meant in (("1d10t", "idiot"), ("l.o.s.e.r", "loser"), ("m0r0n", "moron"), ("tr@$h", "trash"), ("p4th3t1c", "pathetic")):
         assert c.text(f"so {said} it is").split("\n")[-1] == meant
 
 
+def test_channel_decodes_spans_of_any_length(channel):
+    assert channel.text("l" + "o" * 210 + "ser").split("\n")[-1] == "loser"
+    assert channel.text(" ".join("stupid" * 40)).split("\n")[-1].replace(" ", "") == "stupid" * 40
+    assert channel.text("1d10t" * 4000).split("\n")[-1] == "idiot" * 4000
+
+
 def test_no_suspicious_text_passes_the_gate():
     pick = random.Random(7)
     texts = ["so dumba$$ it is", "a$$", "idi07", "tra54", *("".join(pick.choices("ab1$@!|+ .-%é", k=pick.randint(1, 9))) for _ in range(100_000))]

@@ -2,9 +2,10 @@
 
 Character language model: trigrams of letters within words, counted over all documents (labels play no part).
 Channel: a written character stands for one of several letters at a cost (4 or @ for a, 1 or ! for i or l, ...), a run
-of one letter for one or two of it, separators between single letters for nothing. Each suspicious span (leet
+of one letter for one or two of it, a separator between single characters for nothing or for the edge of a word. Each suspicious span (leet
 characters before a letter, single letters spelt out, runs of three) becomes a lattice of bytes, and Viterbi search finds
-the cheapest letters under channel and model, exactly, over states of the last two letters. All else stays.
+the cheapest letters under channel and model, exactly, over states of the last two letters. Trigrams find few of the word
+edges in a spelt-out span, so it is also decoded without edges and read from each of its characters on. All else stays.
 
 Scorer: logistic regression over hashed words of the decoded text and their beginnings (4 to 7 bytes), each counted once a
 document. It learns from at most `sample` labelled rows of the training fold (all toxic and clean rows by the order of a
@@ -38,15 +39,17 @@ LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t",
 }
-_SWAP, _DROP, _DOUBLE, _SINGLE = 1.0, 0.3, 0.5, 0.5
+_SWAP, _DROP, _EDGE, _DOUBLE, _SINGLE = 1.0, 0.3, 1.6, 0.5, 0.5
+_BETWEEN = " ._*-"
+_READ = 16  # bytes of a reading, beyond what features look at
 _L = "a-zß-ɏ"
 _SUSPECT = re.compile(
-    rf"(?<![{_L}0-9])[{_L}](?:[ ._*-][{_L}0-9@$!|+])+(?:[ ._*-][{_L}0-9@$!|+]){{1}}(?![{_L}0-9])"  # single letters spelt out
+    rf"(?<![{_L}0-9])(?=(?:[0-9@$!|+][ ._*-])*[{_L}](?![{_L}0-9]))[{_L}0-9@$!|+](?:[ ._*-][{_L}0-9@$!|+]){{2,}}(?![{_L}0-9])"  # single letters spelt out
     rf"|[{_L}0-9@$!|+]*(?:[0-9@$!|+]+[{_L}]|([{_L}])\1\1)[{_L}0-9@$!|+]*"  # leet before a letter, or a run of three
     rf"|[{_L}]+[0-9@$]+(?![0-9@$!|+%#&*])"  # leet at the end
 )
 # stands in every text that has a suspicious span, and is found faster
-_HINT = re.compile(rf"[0-9@$!|+][{_L}]|[{_L}][0-9@$]+(?![0-9@$!|+%#&*])|([{_L}])\1\1|(?<![{_L}0-9])[{_L}][ ._*-][{_L}0-9@$!|+][ ._*-][{_L}0-9@$!|+](?![{_L}0-9])").search
+_HINT = re.compile(rf"[0-9@$!|+][{_L}]|[{_L}][0-9@$]+(?![0-9@$!|+%#&*])|([{_L}])\1\1|(?<![{_L}0-9])[{_L}0-9@$!|+][ ._*-][{_L}0-9@$!|+][ ._*-][{_L}0-9@$!|+](?![{_L}0-9])").search
 
 # classes of bytes: 1-26 letters, 0 the edge of a word, 27-58 the bytes of other letters
 _CLASS = np.zeros(256, np.int64)
@@ -89,13 +92,18 @@ class Channel:
         one = (counts.sum((0, 1)) + 0.1) / (counts.sum() + 0.1 * _N)
         two = (counts.sum(0) + 5 * one) / (counts.sum(0).sum(1, keepdims=True) + 5)
         self.cost = -np.log((counts + 5 * two) / (counts.sum(2, keepdims=True) + 5))
-        self.have: dict[str, str] = {}
+        self.have: dict[str, tuple[str, str]] = {}
         self.cached = cached
 
-    def restore(self, span: str) -> str:
+    def restore(self, span: str) -> tuple[str, str]:
+        """The best letters with word edges; of a spelt-out span also the best without, read from each character on."""
         got = self.have.get(span)
         if got is None:
-            got = self._decode(span)
+            got = b"".join(self._decode(span, True)).decode(errors="replace"), ""
+            if any(c in _BETWEEN for c in span):
+                said = self._decode(span, False)
+                starts = [0, *(k + 1 for k, x in enumerate(said) if not x)]
+                got = got[0], " ".join(b"".join(said[k : k + 2 * _READ])[:_READ].decode(errors="ignore") for k in starts)
             if len(span) > 200:  # too long to keep
                 return got
             if len(self.have) >= self.cached:
@@ -103,24 +111,24 @@ class Channel:
             self.have[span] = got
         return got
 
-    def _lattice(self, span: str) -> list[list[tuple[float, bytes]]]:
+    def _lattice(self, span: str, edges: bool) -> list[list[tuple[float, bytes]]]:
         """Per run of equal characters, what it may stand for with its cost."""
-        out, spelt = [], bool(re.fullmatch(rf"[{_L}](?:[ ._*-][{_L}0-9@$!|+])+", span))
+        out = []
         for m in re.finditer(r"(.)\1*", span, re.S):
             c, n = m[1], len(m[0])
             if c in LEET:
                 out.append([(_SWAP * n, x.encode() * k) for x in LEET[c] for k in ((1,) if n == 1 else (1, 2))])
             elif c.isalpha():
                 out.append([(0.0, c.encode())] if n == 1 else [(_SINGLE if n == 2 else 0.3, c.encode()), (0.0 if n == 2 else _DOUBLE, c.encode() * 2)])
-            elif spelt:
-                out.append([(_DROP, b"")])
+            elif c in _BETWEEN:
+                out.append([(_DROP, b""), (_EDGE, b" ")] if edges else [(_DROP, b"")])
             else:
                 out.append([(0.0, c.encode() * n)])
         return out
 
-    def _decode(self, span: str) -> str:
+    def _decode(self, span: str, edges: bool) -> list[bytes]:
         best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
-        for step in self._lattice(span):
+        for step in self._lattice(span, edges):
             new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (z, before) in best.items():
                 for price, add in step:
@@ -138,13 +146,14 @@ class Channel:
         while at is not None:
             at, add = at
             said.append(add)
-        return b"".join(reversed(said)).decode(errors="replace")
+        return said[::-1]
 
     def text(self, text: str) -> str:
         """The text with every suspicious span decoded beside what stands there."""
         if not _HINT(text):
             return text
-        return text + "\n" + " ".join(self.restore(m[0]) for m in _SUSPECT.finditer(text))
+        said = [self.restore(m[0]) for m in _SUSPECT.finditer(text)]
+        return "\n".join([text, " ".join(x for _, x in said if x), " ".join(x for x, _ in said)])
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

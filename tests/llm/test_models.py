@@ -94,6 +94,11 @@ def test_channel_decodes_spans_of_any_length(channel):
     assert channel.text("1d10t" * 4000).split("\n")[-1] == "idiot" * 4000
 
 
+@pytest.mark.parametrize("said, meant", [("you are a m o r o n", "moron"), ("he is a s t u p i d fool", "stupid"), ("a l.o.s.e.r", "loser"), ("1 d i o t", "idiot"), ("s t u p i d m o r o n", "moron")])
+def test_channel_finds_words_in_spelt_out_spans(channel, said, meant):
+    assert meant in [x for line in channel.text(said).split("\n")[1:] for x in line.split()]
+
+
 def test_no_suspicious_text_passes_the_gate():
     pick = random.Random(7)
     texts = ["so dumba$$ it is", "a$$", "idi07", "tra54", *("".join(pick.choices("ab1$@!|+ .-%é", k=pick.randint(1, 9))) for _ in range(100_000))]

@@ -179,10 +179,11 @@ def train(docs: DataFrame, sample: int = 20_000) -> tuple[Linear, dict[int, floa
             ends = np.searchsorted(doc, np.arange(b.num_rows + 1)).astype(np.int32)
             yield pa.record_batch({"h": b.column("h"), "code": _code(votes(s)), "place": pa.ListArray.from_arrays(ends, place.astype(np.int32))})
 
-    n = max(1, docs.count())
-    # by the text's hash: about twice the bound is looked at, and the smallest hashes are taken
+    # each text once, by its hash: about twice the bound is looked at, and the smallest hashes are taken
+    hashed = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text", F.lit(11)))
+    n = max(1, hashed.agg(F.count_distinct("h")).first()[0])
     limit = min(1.0, 2.0 * sample / n)
-    some = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text", F.lit(11))).filter(F.pmod("h", F.lit(1 << 20)) < int(limit * (1 << 20)) + 1)
+    some = hashed.filter(F.pmod("h", F.lit(1 << 20)) < int(limit * (1 << 20)) + 1).dropDuplicates(["h"])
     got: pd.DataFrame = some.mapInArrow(run, "h long, code long, place array<int>").orderBy("h").limit(sample).toPandas()
     if not len(got):
         return Linear(np.zeros(1 << BITS), 0.0), posterior

@@ -6,10 +6,13 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from riskgraph.llm import quality
+from riskgraph.llm.features import Linear
 from riskgraph.llm.lm_scoring import op1_suffix_tree
 from riskgraph.llm.quality import keep_good, op6_weak_labels
 from riskgraph.llm.toxicity import _HINT, _SUSPECT, Channel, op9_noisy_channel, trigram_counts
@@ -60,6 +63,14 @@ def test_quality_against_labels(spark, tmp_path):
     assert op6_weak_labels(spark, write(spark, tmp_path, empty(spark))).count() == 0
 
 
+def test_quality_samples_each_text_once(spark, monkeypatch):
+    fitted = []
+    monkeypatch.setattr(quality, "fit_logistic", lambda doc, place, value, target, size: fitted.append(len(target)) or Linear(np.zeros(size), 0.0))
+    docs = spark.range(210).select(F.when(F.col("id") < 200, "the same words again").otherwise(F.concat(F.lit("text number "), F.col("id"))).alias("text"))
+    quality.train(docs, sample=20)
+    assert fitted == [11]
+
+
 @pytest.mark.xfail(reason="measured recall is 0.875 at sf0.1, where few labelled rows train; 0.992 at 0.1 GB", strict=False)
 def test_toxicity_on_held_out_labels(spark):
     d = "/root/testdata/sf0.1"

@@ -20,26 +20,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor shares: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder every executor shares: spark.checkpoint.dir. Only a local session may go without (a temporary one is made)."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="riskgraph-")
         sc.setCheckpointDir(root)
     return root.rstrip("/")
 
 
+def _path(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, narrow: bool = False) -> DataFrame:
     """Writes a table into the shared folder and reads it back: cuts lineage, survives lost executors.
 
-    narrow: for tables of a few short columns, at most eight tasks a core write it, so that it has few small files.
+    The shuffle files of what computed it go once it is written; the table itself goes when forgotten or when the
+    application ends. narrow: for tables of a few short columns, at most eight tasks a core write it, so that it has
+    few small files.
     """
     spark = df.sparkSession
     if narrow:
         df = df.coalesce(8 * max(1, spark.sparkContext.defaultParallelism))
     path = f"{shared_dir(spark)}/riskgraph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, at = _path(spark, path)
+    fs.deleteOnExit(at)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._riskgraph_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    for t in tables:
+        fs, at = _path(t.sparkSession, t._riskgraph_path)
+        fs.delete(at, True)
 
 
 def large_binary_column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
@@ -188,7 +216,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # small-star: smaller neighbours and the node itself go to the smallest
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        cur = kept(small.unionByName(low.select("u", F.col("m").alias("v"))))
+        old, cur = cur, kept(small.unionByName(low.select("u", F.col("m").alias("v"))))
+        forget(old)
     return cur.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )

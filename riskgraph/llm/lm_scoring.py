@@ -7,7 +7,8 @@ Training reads every training text:
 2. For lengths 2 .. max_depth + 1: counts of the sequences (a context and the word after it), summed before and in a
    shuffle. Those with at least `least` occurrences are held, whatever N is, so the tree grows with the input. A
    sequence reaches the shuffle only if a filter of fixed size may hold both of its parts of one word less; the
-   filter never denies a held one, so it saves work and drops nothing.
+   filter never denies a held one, so it saves work and drops nothing. A context grows by a word in front only if the
+   held words after it cost at least min_gain nats: no longer context can gain more than they cost.
 3. Divergence test: a context stays if the log-likelihood that its next-word distribution gains over its
    suffix's (count times Kullback-Leibler divergence) is at least min_gain, or if a longer context needs it.
 
@@ -18,7 +19,7 @@ longest suffix of the words before x in the tree; the end of a text is a symbol,
 
 Each kept context adds the log of its mass left over to each token after it, and each held pair of a kept context takes
 that back and adds log10 of P(x|s) / P(x | suffix of s). So a text's score is its base plus a sum of one value for
-each sequence in it. All values lie in a written table that scoring joins by a shuffle; words and sequences with a
+each sequence in it. All values lie in a written table that scoring meets in a shuffle; words and sequences with a
 share of at least 1 / head_bound, of which there are at most head_bound a length, are broadcast as a shortcut.
 
 Cases: a null or empty text has the end token alone; a null doc_id counts as the empty string for the fold;
@@ -35,12 +36,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import large_binary_column, mix, slices, stored, table, word_hashes
+from .common import forget, large_binary_column, mix, slices, stored, table, word_hashes
 
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
 _R = np.uint64(0x9E3779B97F4A7C15)
-_FILTER_WORDS = 21
-_SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, tail array<struct<h: long, n: int, word: boolean>>"
+_FILTER_WORDS = 22
+_PART_NAMES = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "more"]
 
 
 @dataclass
@@ -100,120 +101,181 @@ def _may(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[keys >> np.uint64(64 - _FILTER_WORDS)] >> (keys & np.uint64(63))) & np.uint64(1) > 0
 
 
-def _sum(s: np.ndarray, u: np.ndarray, c: np.ndarray | None = None) -> pa.RecordBatch:
-    _, first, back, n = np.unique(_key(s, u), return_index=True, return_inverse=True, return_counts=True)
-    if c is not None:
-        n = np.bincount(back, c, len(first))
-    return pa.record_batch({"s": s[first].view(np.int64), "u": u[first].view(np.int64), "c": n.astype(np.int64)})
+def _sum(s: np.ndarray, u: np.ndarray, c: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of keys with their counts."""
+    _, first, back = np.unique(_key(s, u), return_index=True, return_inverse=True)
+    return s[first], u[first], np.bincount(back, c, len(first)).astype(np.int64)
 
 
-def _gather(batches: Iterator[pa.RecordBatch], parts_of: Callable, flush: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def _gather(batches: Iterator[pa.RecordBatch], parts_of: Callable, flush: int = 2_000_000) -> Iterator[tuple]:
     """Sums counts of pairs of keys within a task, never holding more than about flush of them."""
-    held: list[pa.RecordBatch] = []
+    held: list[tuple] = []
     n = 0
     for b in slices(batches, 1024):
         s, u = parts_of(b)
         if len(s):
-            held.append(r := _sum(s, u))
-            n += r.num_rows
+            held.append(_sum(s, u))
+            n += len(held[-1][0])
         if n > flush:
-            one = _merge(held)
-            if one.num_rows > flush // 2:
+            one = _sum(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            n = len(one[0])
+            held = [one]
+            if n > flush // 2:
                 yield one
                 held, n = [], 0
-            else:
-                held, n = [one], one.num_rows
     if held:
-        yield _merge(held)
+        yield _sum(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
-def _merge(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-    t = pa.Table.from_batches(held)
-    return _sum(t["s"].to_numpy().view(np.uint64), t["u"].to_numpy().view(np.uint64), t["c"].to_numpy())
+def _dealt(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(bucket, rows) for each bucket that has rows: the bytes of one column after the other."""
+    order = np.argsort(bucket, kind="stable")
+    bucket, columns = bucket[order], tuple(x[order] for x in columns)
+    cut = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(bucket)) if len(bucket) else [0]
+    for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+        yield int(bucket[lo]), b"".join(x[lo:hi].tobytes() for x in columns)
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        h = _key(b["s"].to_numpy().view(np.uint64), b["u"].to_numpy().view(np.uint64))
-        yield pa.record_batch([pa.array(h.view(np.int64)), *b.columns], names=["h", *b.schema.names])
+def _undealt(blobs: pa.ChunkedArray, *types: str) -> list[np.ndarray]:
+    """The columns of all rows of _dealt in one bucket."""
+    width, parts = sum(np.dtype(t).itemsize for t in types), [[np.zeros(0, t)] for t in types]
+    for x in blobs:
+        if not x.is_valid:
+            continue
+        raw = x.as_buffer()
+        n, at = raw.size // width, 0
+        for t, out in zip(types, parts, strict=True):
+            out.append(np.frombuffer(raw, t, n, at))
+            at += n * np.dtype(t).itemsize
+    return [np.concatenate(x) for x in parts]
+
+
+def _bucket(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> np.uint64(64 - bits)).astype(np.int32)
+
+
+def _counted(texts: DataFrame, parts_of: Callable, bits: int, least: int) -> DataFrame:
+    """(h, s, u, c): the pairs of keys that parts_of finds in batches of texts, with counts of at least `least`.
+
+    A task sums its own and sends one row for each of the 2**bits buckets by the pair's hash, so a frequent word's
+    pairs are spread over all buckets, and a bucket holds about as many pairs as any other.
+    """
+
+    def deal(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s, u, c in _gather(it, parts_of):
+            got = list(zip(*_dealt(_bucket(_key(s, u), bits), s, u, c.astype(np.uint32)), strict=True))
+            yield pa.record_batch({"bucket": pa.array(got[0], pa.int32()), "pairs": pa.array(got[1], pa.binary())})
+
+    def total(part: pa.Table) -> pa.Table:
+        s, u, c = _sum(*_undealt(part["pairs"], "<u8", "<u8", "<u4"))
+        ok = c >= least
+        s, u, c = s[ok], u[ok], c[ok]
+        return pa.table({"h": _key(s, u).view(np.int64), "s": s.view(np.int64), "u": u.view(np.int64), "c": c})
+
+    return texts.mapInArrow(deal, "bucket int, pairs binary").groupBy("bucket").applyInArrow(total, "h long, s long, u long, c long")
+
+
+def _bits(rows: int, each: int) -> int:
+    """The power of two of buckets that gives each about `each` rows."""
+    return max(4, (rows // each).bit_length())
 
 
 def train(texts: DataFrame, max_depth: int = 3, least: int = 2, min_gain: float = 12.0, discount: float = 0.75) -> Tree:
     """The tree. texts: column text; null counts as empty."""
     spark = texts.sparkSession
     texts = texts.select("text")
-
-    def words(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in _gather(it, lambda b: (t := tokens(b)[0], np.zeros_like(t))):
-            yield r.select(["s", "c"])
-
-    counts = stored(texts.mapInArrow(words, "s long, c long").groupBy(F.col("s").alias("h")).agg(F.sum("c").alias("c")))
+    wide = int(spark.conf.get("spark.sql.shuffle.partitions")).bit_length()
+    words = _counted(texts, lambda b: (t := tokens(b)[0], np.zeros_like(t)), max(4, wide), 1)
+    counts = stored(words.select(F.col("s").alias("h"), "c"), narrow=True)
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("h")).first()
     level = counts.filter(F.col("c") >= least).select("h", "c", ((F.col("c") + 1) / F.lit(float(total + distinct + 1))).alias("p"), F.lit(None).cast("long").alias("u"))
-    pairs: list[DataFrame] = []
+    levels: list[tuple[DataFrame, DataFrame]] = []
     for length in range(2, max_depth + 2):
-        sent = spark.sparkContext.broadcast(_filter(level))
-
-        def parts(it: Iterator[pa.RecordBatch], sent=sent, length=length) -> Iterator[pa.RecordBatch]:
-            def of(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-                *_, (key, _), (_, at) = sequences(*tokens(b), length)
-                s, u = key[at - 1], key[at]
-                ok = _may(sent.value, s) & _may(sent.value, u)
-                return s[ok], u[ok]
-
-            return _gather(it, of)
-
-        found = texts.mapInArrow(parts, "s long, u long, c long").groupBy("s", "u").agg(F.sum("c").alias("c")).filter(F.col("c") >= least)
-        found = stored(found.mapInArrow(_keyed, "h long, s long, u long, c long"))
-        # a pair's probability under its state, with the suffix's probability below: the suffix's pair is as frequent, so it is held
-        state = found.groupBy("s").agg(F.sum(F.col("c") - discount).alias("mass")).join(level.select(F.col("h").alias("s"), F.col("c").alias("n"), F.col("u").alias("up")), "s")
-        state = state.select("s", "up", "n", F.greatest(1 - F.col("mass") / F.col("n"), F.lit(1e-12)).alias("left"))
-        below = level.select(F.col("h").alias("u"), F.col("p").alias("below"))
+        held = _filter(level)
+        grown = _filter(levels[-1][1].filter(F.col("cost") >= min_gain).select(F.col("s").alias("h"))) if levels else None
+        sent = spark.sparkContext.broadcast((held, grown))
+
+        def parts(b: pa.RecordBatch, sent=sent, length=length) -> tuple[np.ndarray, np.ndarray]:
+            held, grown = sent.value
+            *_, (key, _), (_, at) = below = list(sequences(*tokens(b), length))
+            s, u = key[at - 1], key[at]
+            ok = _may(held, s) & _may(held, u)
+            if grown is not None:  # the context's suffix ends where the context does
+                ok &= _may(grown, below[-3][0][at - 1])
+            return s[ok], u[ok]
+
+        found = stored(_counted(texts, parts, _bits(total, 1 << 21), least), narrow=True)
+        mass = found.groupBy("s").agg(F.sum(F.col("c") - discount).alias("mass"))
+        state = mass.join(level.select(F.col("h").alias("s"), F.col("c").alias("n"), F.col("u").alias("up")), "s")
+        state = stored(state.select("s", "up", "n", F.greatest(1 - F.col("mass") / F.col("n"), F.lit(1e-12)).alias("left")), narrow=True)
+        half = stored(found.join(state.select("s", "n", "left"), "s").select("h", "s", "u", "c", "n", "left"), narrow=True)
+        forget(found)
+        # the suffix's pair is as frequent, so it is held
         p = (F.col("c") - discount) / F.col("n") + F.col("left") * F.col("below")
-        level = stored(found.join(state, "s").join(below, "u").select("h", "s", "u", "c", "n", "left", "up", p.alias("p"), "below"))
-        pairs.append(level)
+        pairs = stored(half.join(level.select(F.col("h").alias("u"), F.col("p").alias("below")), "u").select("h", "s", "u", "c", p.alias("p"), "below"), narrow=True)
+        forget(half)
+        told = pairs.groupBy("s").agg(F.sum(F.col("c") * F.log(F.col("p") / F.col("below"))).alias("won"), F.sum(-F.col("c") * F.log("p")).alias("cost"), F.sum("c").alias("inside"))
+        gain = F.col("won") + F.greatest(F.col("n") - F.col("inside"), F.lit(0)) * F.log("left")
+        levels.append((pairs, stored(state.join(told, "s").select("s", "up", "n", "left", gain.alias("gain"), "cost"), narrow=True)))
+        forget(state)
+        level = pairs
         if not level.take(1):
             break
     values = counts.select("h", "c", F.col("c").alias("f"), F.lit(0.0).alias("value"))
-    for part in _keep(pairs, min_gain):
+    for part in _keep(levels, min_gain):
         values = values.unionByName(part.select("h", F.lit(None).cast("long").alias("c"), "f", "value"))
-    values = stored(values.groupBy("h").agg(F.max("c").alias("c"), F.max("f").alias("f"), F.sum("value").alias("value")))
+    values = stored(values, narrow=True)
+    forget(counts, *(t for both in levels for t in both))
     return Tree(total, distinct, max_depth + 1, values)
 
 
-def _keep(pairs: list[DataFrame], min_gain: float) -> Iterator[DataFrame]:
+def _keep(levels: list[tuple[DataFrame, DataFrame]], min_gain: float) -> Iterator[DataFrame]:
     """Divergence tests, the longest contexts first. (h, f, value) of kept contexts, and of their pairs."""
     longer = None
-    for t in reversed(pairs):
-        gain = F.sum(F.col("c") * F.log(F.col("p") / F.col("below"))) + F.greatest(F.first("n") - F.sum("c"), F.lit(0)) * F.log(F.first("left"))
-        state = t.groupBy("s").agg(F.first("up").alias("up"), F.first("n").alias("n"), F.first("left").alias("left"), gain.alias("gain"))
+    for pairs, state in reversed(levels):
         needed = F.col("gain") >= min_gain
         if longer is not None:
             state = state.join(longer.select(F.col("up").alias("s")).distinct().withColumn("below", F.lit(True)), "s", "left")
             needed |= F.col("below").isNotNull()
-        longer = stored(state.filter(needed).select("s", "up", "n", "left"))
+        longer = stored(state.filter(needed).select("s", "up", "n", "left"), narrow=True)
         yield longer.select(F.col("s").alias("h"), F.col("n").alias("f"), F.log10("left").alias("value"))
-        yield t.join(longer.select("s"), "s").select("h", F.col("c").alias("f"), (F.log10(F.col("p") / F.col("below")) - F.log10("left")).alias("value"))
+        yield pairs.join(longer.select("s", "left"), "s").select("h", F.col("c").alias("f"), (F.log10(F.col("p") / F.col("below")) - F.log10("left")).alias("value"))
+
+
+_PART = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, more double"
 
 
 def score(docs: DataFrame, tree: Tree, head_bound: int = 1 << 20) -> DataFrame:
-    """docs: doc_id, text, held_out. What isn't in the head is joined with its exact value by a shuffle, one row a
-    sequence and text; words add log10 of their counts to score and base_score alike."""
+    """docs: doc_id, text, held_out. Words and sequences that aren't in the head meet their exact values in a shuffle
+    by buckets of their hashes; base is the sum over words alone, more what the tree adds to it."""
     spark = docs.sparkSession
     floor = max(2, -(-tree.total // head_bound))
-    head = tree.values.filter(F.col("f") >= floor).select("h", F.coalesce("c", F.lit(0)).alias("c"), "value").toArrow()
+    head = tree.values.filter(F.col("f") >= floor).groupBy("h").agg(F.coalesce(F.max("c"), F.lit(0)).alias("c"), F.sum("value").alias("value")).toArrow()
     keys = head["h"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
     rest = _filter(tree.values.filter((F.col("f") < floor) & F.col("c").isNull()))
     sent = spark.sparkContext.broadcast((keys[order], np.log10(head["c"].to_numpy() + 1.0)[order], head["value"].to_numpy()[order], rest))
-    longest, unknown = tree.longest, tree.unknown
+    longest, unknown, bits = tree.longest, tree.unknown, _bits(tree.total, 1 << 22)
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    kinds_of = pa.schema(list(zip(_PART_NAMES, kinds, strict=True)))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, logs, values, rest = sent.value
+        held: list[list[np.ndarray]] = [[], [], []]
+        size_held = 0
+
+        def flush() -> pa.RecordBatch:
+            h, row, n = (np.concatenate(x) for x in held)
+            for x in held:
+                x.clear()
+            got = list(zip(*_dealt(_bucket(h, bits), h, row, n), strict=True)) or [[], []]
+            none = {f: pa.nulls(len(got[0]), t) for f, t in zip(_PART_NAMES, kinds, strict=True)}
+            return pa.record_batch({"bucket": pa.array(got[0], pa.int32()), "tail": pa.array(got[1], pa.binary()), **none})
+
         for b in slices(it):
             tok, at = tokens(b)
             size, rows = np.diff(at), b.num_rows
-            doc = np.repeat(np.arange(rows), size)
+            doc, ids = np.repeat(np.arange(rows), size), b["row"].to_numpy()
             base, more, known, left = np.zeros(rows), np.zeros(rows), np.zeros(rows), []
             for n, (key, where) in enumerate(sequences(tok, at, longest)):
                 key, d = key[where], doc[where]
@@ -223,36 +285,59 @@ def score(docs: DataFrame, tree: Tree, head_bound: int = 1 << 20) -> DataFrame:
                 if not n:
                     base += np.bincount(d[hit], logs[i[hit]] + unknown, rows)
                     known += np.bincount(d[hit], minlength=rows)
-                    out = ~hit
-                else:
-                    out = ~hit & _may(rest, key)
-                left.append((d[out], key[out], np.full(out.sum(), not n)))
-            d, h, word = (np.concatenate(x) for x in zip(*left, strict=True))
-            order = np.lexsort((h, d))
-            d, h, word = d[order], h[order], word[order]
-            new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (h[1:] != h[:-1])])) if len(d) else np.zeros(0, np.int64)
-            n = np.diff(np.append(new, len(d)))
-            d, h, word = d[new], np.ascontiguousarray(h[new]).view(np.int64), word[new]
-            tail = pa.StructArray.from_arrays([pa.array(h), pa.array(n.astype(np.int32)), pa.array(word)], ["h", "n", "word"])
-            cut = pa.array(np.searchsorted(d, np.arange(rows + 1)).astype(np.int32))
+                out = ~hit if not n else ~hit & _may(rest, key)
+                left.append((key[out], d[out], np.full(out.sum(), not n)))
+            h, d, word = (np.concatenate(x) for x in zip(*left, strict=True))
+            if len(h):
+                _, first, n = np.unique(_key(h, d.astype(np.uint64)), return_index=True, return_counts=True)
+                held[0].append(h[first])
+                held[1].append(ids[d[first]])
+                held[2].append((n * np.where(word[first], -1, 1)).astype(np.int32))  # words have counts below zero
+                size_held += len(first)
             yield pa.record_batch({
-                "row": b["row"], "doc_id": b["doc_id"], "held_out": b["held_out"], "n_tokens": size.astype(np.int64),
-                "n_known": known.astype(np.int64), "base_score": base, "score": base + more, "tail": pa.ListArray.from_arrays(cut, tail),
+                "bucket": _bucket(mix(ids.view(np.uint64)), bits), "tail": pa.nulls(rows, pa.binary()), "row": b["row"], "doc_id": b["doc_id"], "held_out": b["held_out"],
+                "n_tokens": size.astype(np.int64), "n_known": known.astype(np.int64), "base": base, "more": more,
             })
+            if size_held > 1_000_000:
+                size_held = 0
+                yield flush()
+        if size_held:
+            yield flush()
+
+    def deal(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            h = b["h"].to_numpy().view(np.uint64)
+            c = b["c"].fill_null(0).to_numpy().astype(np.uint32)
+            got = list(zip(*_dealt(_bucket(h, bits), h, c, b["value"].to_numpy()), strict=True)) or [[], []]
+            yield pa.record_batch({"bucket": pa.array(got[0], pa.int32()), "model": pa.array(got[1], pa.binary())})
+
+    def meet(part: pa.Table, model: pa.Table) -> pa.Table:
+        if not part.num_rows:  # no text asks this bucket
+            return kinds_of.empty_table()
+        own = part.filter(part["row"].is_valid()).select(_PART_NAMES)
+        h, row, n = _undealt(part["tail"], "<u8", "<i8", "<i4")
+        keys, c, value = _undealt(model["model"] if model.num_rows else [], "<u8", "<u4", "<f8")
+        keys, back = np.unique(keys, return_inverse=True)
+        c, value = np.bincount(back, c, len(keys)), np.bincount(back, value, len(keys))
+        i = _find(keys, h)
+        hit, word = i >= 0, n < 0
+        times = np.abs(n)
+        count = np.where(hit, c[i], 0) if len(keys) else np.zeros(len(h))
+        more = np.where(hit, value[i], 0.0) * times if len(keys) else np.zeros(len(h))
+        base = np.where(word, times * (np.log10(count + 1.0) + unknown), 0.0)
+        rows, at = np.unique(row, return_inverse=True)
+        none = [pa.nulls(len(rows), k) for k in (pa.int64(), pa.bool_(), pa.int64())]
+        known = np.bincount(at, times * (word & (count > 0)), len(rows)).astype(np.int64)
+        sums = [pa.array(np.bincount(at, x, len(rows)).astype(float)) for x in (base, more)]
+        more = pa.Table.from_arrays([pa.array(rows), *none, pa.array(known), *sums], schema=kinds_of)
+        return pa.concat_tables([own.cast(kinds_of), more])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text", "held_out")
-    scored = stored(rows.mapInArrow(run, _SCORED))
-    tail = scored.select("row", F.explode("tail").alias("t")).select("row", "t.h", "t.n", "t.word")
-    base = F.when(F.col("word"), F.col("n") * (F.log10(F.coalesce("c", F.lit(0)) + 1.0) + F.lit(unknown))).otherwise(0.0)
-    tail = tail.join(tree.values.filter(F.col("f") < floor).drop("f"), "h", "left").groupBy("row").agg(
-        F.sum(F.when(F.col("word") & F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("known"),
-        F.sum(base).alias("add"),
-        F.sum(F.col("n") * F.coalesce("value", F.lit(0.0))).alias("more"),
-    )
-    add, more = F.coalesce("add", F.lit(0.0)), F.coalesce("more", F.lit(0.0))
-    return scored.drop("tail").join(tail, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(tree.total).cast("long").alias("train_tokens"), (F.col("base_score") + add).alias("base_score"), (F.col("score") + add + more).alias("score"),
+    sides = rows.mapInArrow(run, f"bucket int, tail binary, {_PART}"), tree.values.filter(F.col("f") < floor).mapInArrow(deal, "bucket int, model binary")
+    found = sides[0].groupBy("bucket").cogroup(sides[1].groupBy("bucket")).applyInArrow(meet, _PART)
+    per = found.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "more")))
+    return per.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(tree.total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("base") + F.col("more")).alias("score"),
     )
 
 

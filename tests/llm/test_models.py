@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from riskgraph.llm import quality
+from riskgraph.llm import lm_scoring, quality
 from riskgraph.llm.features import Linear
 from riskgraph.llm.lm_scoring import op1_suffix_tree
 from riskgraph.llm.quality import keep_good, op6_weak_labels
@@ -34,6 +34,51 @@ def check_bases(docs, got):
     assert want == sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in got)
 
 
+def plain_scores(docs, depth=3, least=2, min_gain=12.0, discount=0.75):
+    """doc_id -> log10 probability by dictionaries of whole sequences, with the longest context of the tree for each token."""
+    train = [tokens(t) for d, t in docs if zlib.crc32(str(d).encode()) % 7 != 2]
+    count = collections.Counter(tuple(x[i : i + n]) for x in train for n in range(1, depth + 2) for i in range(len(x) - n + 1))
+    total, distinct = sum(c for k, c in count.items() if len(k) == 1), sum(len(k) == 1 for k in count)
+    held = {k: c for k, c in count.items() if c >= least or len(k) == 1}
+    p = {k: (c + 1) / (total + distinct + 1) for k, c in held.items() if len(k) == 1}
+    left, gain, cost, grown = {}, {}, {}, {(): True}
+    for n in range(2, depth + 2):
+        own = collections.defaultdict(list)
+        for k, c in held.items():
+            if len(k) == n and grown.get(k[1:-1], False):
+                own[k[:-1]].append((k, c))
+        for s, pairs in own.items():
+            left[s] = max(1 - sum(c - discount for _, c in pairs) / count[s], 1e-12)
+            for k, c in pairs:
+                p[k] = (c - discount) / count[s] + left[s] * p[k[1:]]
+            cost[s] = -sum(c * math.log(p[k]) for k, c in pairs)
+            gain[s] = sum(c * math.log(p[k] / p[k[1:]]) for k, c in pairs) + max(count[s] - sum(c for _, c in pairs), 0) * math.log(left[s])
+            grown[s] = cost[s] >= min_gain
+    tree = set()
+    for s in sorted(gain, key=len, reverse=True):
+        if gain[s] >= min_gain or s in tree:
+            tree |= {s[k:] for k in range(len(s))}
+
+    def prob(s, x):
+        while s and s not in tree:
+            s = s[1:]
+        if not s:
+            return p.get((x,), 1 / (total + distinct + 1))
+        return p[(*s, x)] if (*s, x) in p else left[s] * prob(s[1:], x)
+
+    return {d: sum(math.log10(prob(tuple(w[max(0, i - depth) : i]), x)) for i, x in enumerate(w)) for d, t in docs for w in [tokens(t)]}
+
+
+def test_suffix_tree_scores_against_dictionaries(spark, monkeypatch):
+    docs = [tuple(r) for r in spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text").collect()]
+    want = plain_scores(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string").select("doc_id", "text", lm_scoring.held_out(F.col("doc_id")).alias("held_out"))
+    tree = lm_scoring.train(df.filter("not held_out"))
+    for bound in (1 << 20, 1000):  # all in the head; most in the shuffle
+        got = {r.doc_id: r.score for r in lm_scoring.score(df, tree, bound).collect()}
+        assert got.keys() == want.keys() and all(abs(got[d] - want[d]) < 1e-6 * max(1, abs(want[d])) for d in want)
+
+
 def test_suffix_tree(spark, tmp_path):
     docs = [tuple(r) for r in spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text").collect()]
     got = op1_suffix_tree(spark, DIR).collect()

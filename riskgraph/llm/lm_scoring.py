@@ -40,7 +40,7 @@ from .common import forget, large_binary_column, mix, slices, stored, table, wor
 
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
 _R = np.uint64(0x9E3779B97F4A7C15)
-_FILTER_WORDS = 22
+_FILTER_WORDS = 21
 _PART_NAMES = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "more"]
 
 
@@ -89,16 +89,17 @@ def _find(keys: np.ndarray, want: np.ndarray) -> np.ndarray:
     return np.where(keys[i] == want, i, -1)
 
 
-def _filter(keys: DataFrame) -> np.ndarray:
-    """One bit for each key h in a table of fixed size: a set bit may be another key's."""
-    got = keys.groupBy(F.expr(f"cast(shiftrightunsigned(h, {64 - _FILTER_WORDS}) as int)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("b")).toArrow()
-    out = np.zeros(1 << _FILTER_WORDS, np.uint64)
+def _filter(keys: DataFrame, tokens: int) -> np.ndarray:
+    """One bit for each key h in a table of two bits a token, of 16 MB at most: a set bit may be another key's."""
+    words = max(10, min(_FILTER_WORDS, (tokens >> 5).bit_length()))
+    got = keys.groupBy(F.expr(f"shiftrightunsigned(h, {64 - words})").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("b")).toArrow()
+    out = np.zeros(1 << words, np.uint64)
     out[got["w"].to_numpy()] = got["b"].to_numpy().view(np.uint64)
     return out
 
 
 def _may(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    return (bits[keys >> np.uint64(64 - _FILTER_WORDS)] >> (keys & np.uint64(63))) & np.uint64(1) > 0
+    return (bits[keys >> np.uint64(65 - len(bits).bit_length())] >> (keys & np.uint64(63))) & np.uint64(1) > 0
 
 
 def _sum(s: np.ndarray, u: np.ndarray, c: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -191,8 +192,8 @@ def train(texts: DataFrame, max_depth: int = 3, least: int = 2, min_gain: float
     level = counts.filter(F.col("c") >= least).select("h", "c", ((F.col("c") + 1) / F.lit(float(total + distinct + 1))).alias("p"), F.lit(None).cast("long").alias("u"))
     levels: list[tuple[DataFrame, DataFrame]] = []
     for length in range(2, max_depth + 2):
-        held = _filter(level)
-        grown = _filter(levels[-1][1].filter(F.col("cost") >= min_gain).select(F.col("s").alias("h"))) if levels else None
+        held = _filter(level, total)
+        grown = _filter(levels[-1][1].filter(F.col("cost") >= min_gain).select(F.col("s").alias("h")), total) if levels else None
         sent = spark.sparkContext.broadcast((held, grown))
 
         def parts(b: pa.RecordBatch, sent=sent, length=length) -> tuple[np.ndarray, np.ndarray]:
@@ -205,6 +206,7 @@ def train(texts: DataFrame, max_depth: int = 3, least: int = 2, min_gain: float
             return s[ok], u[ok]
 
         found = stored(_counted(texts, parts, _bits(total, 1 << 21), least), narrow=True)
+        sent.destroy()
         mass = found.groupBy("s").agg(F.sum(F.col("c") - discount).alias("mass"))
         state = mass.join(level.select(F.col("h").alias("s"), F.col("c").alias("n"), F.col("u").alias("up")), "s")
         state = stored(state.select("s", "up", "n", F.greatest(1 - F.col("mass") / F.col("n"), F.lit(1e-12)).alias("left")), narrow=True)
@@ -253,7 +255,7 @@ def score(docs: DataFrame, tree: Tree, head_bound: int = 1 << 20) -> DataFrame:
     head = tree.values.filter(F.col("f") >= floor).groupBy("h").agg(F.coalesce(F.max("c"), F.lit(0)).alias("c"), F.sum("value").alias("value")).toArrow()
     keys = head["h"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    rest = _filter(tree.values.filter((F.col("f") < floor) & F.col("c").isNull()))
+    rest = _filter(tree.values.filter((F.col("f") < floor) & F.col("c").isNull()), tree.total)
     sent = spark.sparkContext.broadcast((keys[order], np.log10(head["c"].to_numpy() + 1.0)[order], head["value"].to_numpy()[order], rest))
     longest, unknown, bits = tree.longest, tree.unknown, _bits(tree.total, 1 << 22)
     kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]

@@ -104,8 +104,12 @@ def _may(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 def _sum(s: np.ndarray, u: np.ndarray, c: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct pairs of keys with their counts."""
-    _, first, back = np.unique(_key(s, u), return_index=True, return_inverse=True)
-    return s[first], u[first], np.bincount(back, c, len(first)).astype(np.int64)
+    key = _key(s, u)
+    order = np.argsort(key)
+    key = key[order]
+    new = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
+    n = np.diff(np.append(new, len(key))) if c is None or not len(key) else np.add.reduceat(c[order].astype(np.int64), new)
+    return s[order[new]], u[order[new]], n
 
 
 def _gather(batches: Iterator[pa.RecordBatch], parts_of: Callable, flush: int = 2_000_000) -> Iterator[tuple]:
@@ -114,9 +118,8 @@ def _gather(batches: Iterator[pa.RecordBatch], parts_of: Callable, flush: int =
     n = 0
     for b in slices(batches, 1024):
         s, u = parts_of(b)
-        if len(s):
-            held.append(_sum(s, u))
-            n += len(held[-1][0])
+        held.append((s, u, np.ones(len(s), np.int64)))
+        n += len(s)
         if n > flush:
             one = _sum(*(np.concatenate(x) for x in zip(*held, strict=True)))
             n = len(one[0])
@@ -124,7 +127,7 @@ def _gather(batches: Iterator[pa.RecordBatch], parts_of: Callable, flush: int =
             if n > flush // 2:
                 yield one
                 held, n = [], 0
-    if held:
+    if n:
         yield _sum(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
@@ -208,17 +211,17 @@ def train(texts: DataFrame, max_depth: int = 3, least: int = 2, min_gain: float
         found = stored(_counted(texts, parts, _bits(total, 1 << 21), least), narrow=True)
         sent.destroy()
         mass = found.groupBy("s").agg(F.sum(F.col("c") - discount).alias("mass"))
-        state = mass.join(level.select(F.col("h").alias("s"), F.col("c").alias("n"), F.col("u").alias("up")), "s")
+        state = level.select(F.col("h").alias("s"), F.col("c").alias("n"), F.col("u").alias("up")).join(mass.hint("shuffle_hash"), "s")
         state = stored(state.select("s", "up", "n", F.greatest(1 - F.col("mass") / F.col("n"), F.lit(1e-12)).alias("left")), narrow=True)
-        half = stored(found.join(state.select("s", "n", "left"), "s").select("h", "s", "u", "c", "n", "left"), narrow=True)
+        half = stored(found.join(state.select("s", "n", "left").hint("shuffle_hash"), "s").select("h", "s", "u", "c", "n", "left"), narrow=True)
         forget(found)
         # the suffix's pair is as frequent, so it is held
         p = (F.col("c") - discount) / F.col("n") + F.col("left") * F.col("below")
-        pairs = stored(half.join(level.select(F.col("h").alias("u"), F.col("p").alias("below")), "u").select("h", "s", "u", "c", p.alias("p"), "below"), narrow=True)
+        pairs = stored(half.join(level.select(F.col("h").alias("u"), F.col("p").alias("below")).hint("shuffle_hash"), "u").select("h", "s", "u", "c", p.alias("p"), "below"), narrow=True)
         forget(half)
         told = pairs.groupBy("s").agg(F.sum(F.col("c") * F.log(F.col("p") / F.col("below"))).alias("won"), F.sum(-F.col("c") * F.log("p")).alias("cost"), F.sum("c").alias("inside"))
         gain = F.col("won") + F.greatest(F.col("n") - F.col("inside"), F.lit(0)) * F.log("left")
-        levels.append((pairs, stored(state.join(told, "s").select("s", "up", "n", "left", gain.alias("gain"), "cost"), narrow=True)))
+        levels.append((pairs, stored(state.join(told.hint("shuffle_hash"), "s").select("s", "up", "n", "left", gain.alias("gain"), "cost"), narrow=True)))
         forget(state)
         level = pairs
         if not level.take(1):
@@ -226,22 +229,23 @@ def train(texts: DataFrame, max_depth: int = 3, least: int = 2, min_gain: float
     values = counts.select("h", "c", F.col("c").alias("f"), F.lit(0.0).alias("value"))
     for part in _keep(levels, min_gain):
         values = values.unionByName(part.select("h", F.lit(None).cast("long").alias("c"), "f", "value"))
-    values = stored(values, narrow=True)
-    forget(counts, *(t for both in levels for t in both))
     return Tree(total, distinct, max_depth + 1, values)
 
 
 def _keep(levels: list[tuple[DataFrame, DataFrame]], min_gain: float) -> Iterator[DataFrame]:
     """Divergence tests, the longest contexts first. (h, f, value) of kept contexts, and of their pairs."""
     longer = None
-    for pairs, state in reversed(levels):
-        needed = F.col("gain") >= min_gain
+    for pairs, told in reversed(levels):
+        state, needed = told, F.col("gain") >= min_gain
         if longer is not None:
             state = state.join(longer.select(F.col("up").alias("s")).distinct().withColumn("below", F.lit(True)), "s", "left")
             needed |= F.col("below").isNotNull()
         longer = stored(state.filter(needed).select("s", "up", "n", "left"), narrow=True)
         yield longer.select(F.col("s").alias("h"), F.col("n").alias("f"), F.log10("left").alias("value"))
-        yield pairs.join(longer.select("s", "left"), "s").select("h", F.col("c").alias("f"), (F.log10(F.col("p") / F.col("below")) - F.log10("left")).alias("value"))
+        value = F.log10(F.col("p") / F.col("below")) - F.log10("left")
+        own = pairs.join(longer.select("s", "left").hint("shuffle_hash"), "s").select("h", F.col("c").alias("f"), value.alias("value"))
+        yield stored(own, narrow=True)
+        forget(pairs, told)
 
 
 _PART = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, more double"
@@ -256,13 +260,15 @@ def score(docs: DataFrame, tree: Tree, head_bound: int = 1 << 20) -> DataFrame:
     keys = head["h"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
     rest = _filter(tree.values.filter((F.col("f") < floor) & F.col("c").isNull()), tree.total)
-    sent = spark.sparkContext.broadcast((keys[order], np.log10(head["c"].to_numpy() + 1.0)[order], head["value"].to_numpy()[order], rest))
+    near = np.zeros(1 << 16, np.uint64)
+    np.bitwise_or.at(near, keys >> np.uint64(48), np.uint64(1) << (keys & np.uint64(63)))
+    sent = spark.sparkContext.broadcast((keys[order], np.log10(head["c"].to_numpy() + 1.0)[order], head["value"].to_numpy()[order], near, rest))
     longest, unknown, bits = tree.longest, tree.unknown, _bits(tree.total, 1 << 22)
     kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     kinds_of = pa.schema(list(zip(_PART_NAMES, kinds, strict=True)))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, logs, values, rest = sent.value
+        keys, logs, values, near, rest = sent.value
         held: list[list[np.ndarray]] = [[], [], []]
         size_held = 0
 
@@ -281,7 +287,8 @@ def score(docs: DataFrame, tree: Tree, head_bound: int = 1 << 20) -> DataFrame:
             base, more, known, left = np.zeros(rows), np.zeros(rows), np.zeros(rows), []
             for n, (key, where) in enumerate(sequences(tok, at, longest)):
                 key, d = key[where], doc[where]
-                i = _find(keys, key)
+                i, maybe = np.full(len(key), -1, np.int64), np.flatnonzero(_may(near, key))
+                i[maybe] = _find(keys, key[maybe])
                 hit = i >= 0
                 more += np.bincount(d[hit], values[i[hit]], rows)
                 if not n:

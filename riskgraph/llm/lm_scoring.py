@@ -112,23 +112,31 @@ def _sum(s: np.ndarray, u: np.ndarray, c: np.ndarray | None = None) -> tuple[np.
     return s[order[new]], u[order[new]], n
 
 
-def _gather(batches: Iterator[pa.RecordBatch], parts_of: Callable, flush: int = 2_000_000) -> Iterator[tuple]:
+def _gather(batches: Iterator[pa.RecordBatch], parts_of: Callable, flush: int = 1_000_000) -> Iterator[tuple]:
     """Sums counts of pairs of keys within a task, never holding more than about flush of them."""
     held: list[tuple] = []
     n = 0
-    for b in slices(batches, 1024):
+
+    def one() -> tuple:
+        s, u, c = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        return _sum(s, u, c)
+
+    for b in slices(batches):
         s, u = parts_of(b)
-        held.append((s, u, np.ones(len(s), np.int64)))
+        held.append((s, u, np.ones(len(s), np.uint32)))
         n += len(s)
         if n > flush:
-            one = _sum(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            n = len(one[0])
-            held = [one]
+            some = one()
+            n = len(some[0])
             if n > flush // 2:
-                yield one
-                held, n = [], 0
+                yield some
+                n = 0
+            else:
+                held.append(some)
+            del some
     if n:
-        yield _sum(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        yield one()
 
 
 def _dealt(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
@@ -208,7 +216,7 @@ def train(texts: DataFrame, max_depth: int = 3, least: int = 2, min_gain: float
                 ok &= _may(grown, below[-3][0][at - 1])
             return s[ok], u[ok]
 
-        found = stored(_counted(texts, parts, _bits(total, 1 << 21), least), narrow=True)
+        found = stored(_counted(texts, parts, _bits(total, 1 << 20), least), narrow=True)
         sent.destroy()
         mass = found.groupBy("s").agg(F.sum(F.col("c") - discount).alias("mass"))
         state = level.select(F.col("h").alias("s"), F.col("c").alias("n"), F.col("u").alias("up")).join(mass.hint("shuffle_hash"), "s")
@@ -263,7 +271,7 @@ def score(docs: DataFrame, tree: Tree, head_bound: int = 1 << 20) -> DataFrame:
     near = np.zeros(1 << 16, np.uint64)
     np.bitwise_or.at(near, keys >> np.uint64(48), np.uint64(1) << (keys & np.uint64(63)))
     sent = spark.sparkContext.broadcast((keys[order], np.log10(head["c"].to_numpy() + 1.0)[order], head["value"].to_numpy()[order], near, rest))
-    longest, unknown, bits = tree.longest, tree.unknown, _bits(tree.total, 1 << 22)
+    longest, unknown, bits = tree.longest, tree.unknown, _bits(tree.total, 1 << 21)
     kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     kinds_of = pa.schema(list(zip(_PART_NAMES, kinds, strict=True)))
 
@@ -307,7 +315,7 @@ def score(docs: DataFrame, tree: Tree, head_bound: int = 1 << 20) -> DataFrame:
                 "bucket": _bucket(mix(ids.view(np.uint64)), bits), "tail": pa.nulls(rows, pa.binary()), "row": b["row"], "doc_id": b["doc_id"], "held_out": b["held_out"],
                 "n_tokens": size.astype(np.int64), "n_known": known.astype(np.int64), "base": base, "more": more,
             })
-            if size_held > 1_000_000:
+            if size_held > 500_000:
                 size_held = 0
                 yield flush()
         if size_held:

@@ -2,8 +2,9 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
-from riskgraph.llm.sharding import op10_label_propagation, place, propagate
+from riskgraph.llm.sharding import equal_text_links, op10_label_propagation, place, propagate
 
 from .cases import awkward, empty, write
 
@@ -55,6 +56,35 @@ def test_a_group_larger_than_its_quota_is_cut_into_few_runs(spark):
     assert len({got[i] for i in range(n // 3)}) <= 9  # 8 quotas
 
 
+@pytest.mark.parametrize("d", ["sf0.01", "sf0.1"])
+def test_propagation_moves_the_rows_of_the_query(spark, d):
+    rows = spark.read.parquet(f"/root/testdata/{d}/documents.parquet").selectExpr("doc_id AS row", "octet_length(text) + 8L AS size", "xxhash64(text) AS text_hash")
+    n, total = rows.agg(F.count("row"), F.sum("size")).first()
+    links, trace = equal_text_links(rows, n), []
+    cut = lambda at: sum(at[a] != at[b] for a, b in map(tuple, links.collect()))
+    start = {r.row: r.s for r in rows.selectExpr("row", "pmod(xxhash64(row), 24) AS s").collect()}
+    end = {r.row: r.shard for r in propagate(rows.select("row", "size"), links, 24, total / 24, 6, trace).collect()}
+    most = max(Counter(x for pair in links.collect() for x in pair).values())
+    assert trace[0][0] > 0 and trace[0][1] > 0 and trace[-1][0] == 0
+    assert cut(start) > 0.8 * links.count() and cut(end) == 0 and most <= 2 * (n**0.5 + 1)
+
+
+def test_links_join_each_group_of_equal_texts(spark):
+    rows = spark.range(5000).selectExpr("id AS row", "CASE WHEN id < 3000 THEN 1 ELSE id DIV 2 END AS text_hash")
+    root = {r.row: r.row for r in rows.collect()}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in map(tuple, equal_text_links(rows, 5000).collect()):
+        a, b = find(a), find(b)
+        assert a != b  # trees
+        root[max(a, b)] = min(a, b)
+    assert all(find(r.row) == (0 if r.row < 3000 else r.row // 2 * 2) for r in rows.collect())
+
+
 def test_propagation_joins_a_ring_of_neighbours(spark):
     edges = [(10 * c + i, 10 * c + j) for c in range(40) for i in range(10) for j in range(i)]
     nodes = spark.range(400).selectExpr("id AS row", "1L AS size")

@@ -57,3 +57,28 @@ def test_awkward_vectors(spark):
     assert got == brute(rows)[0]
     assert near_duplicates(df.limit(0)).count() == 0
     assert [tuple(r) for r in near_duplicates(spark.createDataFrame([(None, e, 0, "", "", 0)], SCHEMA)).collect()] == [(None, 0, None, True)]
+
+
+def test_recall_on_planted_pairs(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for label in range(4):
+        x = rng.normal(size=(2500, 64))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        z = rng.normal(size=x.shape)
+        z -= (z * x).sum(1, keepdims=True) * x
+        z /= np.linalg.norm(z, axis=1, keepdims=True)
+        c = rng.uniform(0.931, 0.99, (2500, 1))
+        rows += [(len(rows) + k, v.tolist(), label) for k, v in enumerate(np.concatenate([x, c * x + (1 - c**2) ** 0.5 * z]))]
+    centre = rng.normal(size=64)  # a cluster far larger than a block
+    rows += [(len(rows) + k, (centre + rng.normal(size=64) * 0.1).tolist(), 0) for k in range(900)]
+    rows += [(len(rows) + k, centre.tolist(), 0) for k in range(300)]
+    want, total = brute(rows)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r.n_links for r in near_duplicates(df, block=64).collect()}
+    assert total > 10_000 + 1200 * 1199 / 2 - 1 and all(got[i] <= n for i, n, _, _ in want)
+    pairs = [(got[i], n) for i, n, _, _ in want if i < 20_000]
+    assert sum(g for g, _ in pairs) >= 0.9 * sum(n for _, n in pairs) > 0
+    big = [(got[i], n) for i, n, _, _ in want if i >= 20_000]
+    assert sum(g for g, _ in big) >= 0.9 * sum(n for _, n in big)
+    print("recall", sum(g for g, _ in pairs) / sum(n for _, n in pairs), sum(g for g, _ in big) / sum(n for _, n in big))

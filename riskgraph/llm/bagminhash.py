@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, forest, large_binary_column, mix, slices, stored, table, word_hashes
+from .common import components, forest, free_name, large_binary_column, mix, slices, stored, table, word_hashes
 
 BANDS, BAND = 42, 6
 SKETCH = 8  # longs of 63 bits: two bits of each of the 252 slots
@@ -207,9 +207,9 @@ def _alike(a: str, b: str, least: float) -> Column:
     return fits & (_differ(f"sketch_{a}", f"sketch_{b}", SKETCH) <= most) & (_differ(f"odd_{a}", f"odd_{b}", ODD) <= bound)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Adds key, 16 bytes that equal texts share."""
-    return docs.withColumn("key", F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))))
+def _keyed(docs: DataFrame, name: str = "key") -> DataFrame:
+    """Adds a key of 16 bytes that equal texts share."""
+    return docs.withColumn(name, F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))))
 
 
 def _classed(docs: DataFrame, least: float) -> DataFrame:
@@ -273,16 +273,17 @@ def keep_one(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """One row of each class, whole: that with the smallest id."""
     own = _classed(docs, least).filter((F.col("key") == F.col("best")) & F.col("doc_id").eqNullSafe(F.col("least")))
     chosen = stored(own.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("copies")))
-    keyed = _keyed(docs)
+    name = free_name(docs, "key")
+    keyed = _keyed(docs, name)
 
     def rows_of(some: DataFrame) -> DataFrame:
-        same = (keyed["key"] == some["key"]) & keyed["doc_id"].cast("long").eqNullSafe(some["doc_id"])
+        same = (keyed[name] == some["key"]) & keyed["doc_id"].cast("long").eqNullSafe(some["doc_id"])
         return keyed.join(some, same, "left_semi")
 
     out = rows_of(chosen.filter("copies = 1"))
     if chosen.filter("copies > 1").limit(1).count():
-        out = out.unionByName(rows_of(chosen.filter("copies > 1")).dropDuplicates(["doc_id", "key"]))
-    return out.drop("key")
+        out = out.unionByName(rows_of(chosen.filter("copies > 1")).dropDuplicates(["doc_id", name]))
+    return out.drop(name)
 
 
 def op5_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

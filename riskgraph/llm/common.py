@@ -70,6 +70,14 @@ def forget(*tables: DataFrame) -> None:
         fs.delete(at, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in upper or lower case."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def large_binary_column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column without copying values; null counts as empty."""
     col = batch.column(batch.schema.get_field_index(name))

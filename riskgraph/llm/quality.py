@@ -22,8 +22,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import _SPACE, large_binary_column, mix, slices, table, word_hashes
+from .common import _SPACE, free_name, large_binary_column, mix, slices, table, word_hashes
 from .features import Linear, fit_logistic
 
 BITS = 14
@@ -193,8 +194,8 @@ def train(docs: DataFrame, sample: int = 20_000) -> tuple[Linear, dict[int, floa
     return fit_logistic(doc, place, np.ones(len(place)), target, 1 << BITS), posterior
 
 
-def score(docs: DataFrame, scorer: Linear, posterior: dict[int, float]) -> DataFrame:
-    """Adds weak (the votes' posterior) and score (the scorer's) to all rows and columns of docs."""
+def score(docs: DataFrame, scorer: Linear, posterior: dict[int, float], names: tuple[str, str] = ("_weak", "_score")) -> DataFrame:
+    """Adds the votes' posterior and the scorer's score, by these names, to all rows and columns of docs."""
     sent = docs.sparkSession.sparkContext.broadcast((scorer, posterior))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,17 +204,15 @@ def score(docs: DataFrame, scorer: Linear, posterior: dict[int, float]) -> DataF
             s = statistics(b)
             weak = np.array([posterior.get(c, 0.5) for c in _code(votes(s)).tolist()])
             value = scorer.score(*features(b, s), b.num_rows)
-            yield pa.record_batch([*b.columns, pa.array(weak, pa.float64()), pa.array(value, pa.float64())], names=[*b.schema.names, "_weak", "_score"])
+            yield pa.record_batch([*b.columns, pa.array(weak, pa.float64()), pa.array(value, pa.float64())], names=[*b.schema.names, *names])
 
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*docs.schema.fields, T.StructField("_weak", T.DoubleType()), T.StructField("_score", T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(x, T.DoubleType()) for x in names)]))
 
 
 def keep_good(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows whose score is at least `least`, with the columns of docs."""
-    return score(docs, *train(docs)).filter(F.col("_score") >= least).drop("_weak", "_score")
+    """The rows whose score is at least `least`, with the columns of docs, whatever their names."""
+    names = free_name(docs, "_weak"), free_name(docs, "_score")
+    return score(docs, *train(docs), names).filter(F.col(names[1]) >= least).drop(*names)
 
 
 def op6_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,8 @@ of one letter for one or two of it, a separator between single characters for no
 characters before a letter, single letters spelt out, runs of three) becomes a lattice of bytes, and Viterbi search finds
 the cheapest letters under channel and model, exactly, over states of the last two letters. Trigrams find few of the word
 edges in a spelt-out span, so it is also decoded without edges and read from each of its characters on. All else stays.
+Spans are found in time linear in the text, decoded in time linear in the span, and put back where they stood: the scored
+text is the restored one.
 
 Scorer: logistic regression over hashed words of the decoded text and their beginnings (4 to 7 bytes), each counted once a
 document. It learns from at most `sample` labelled rows of the training fold (all toxic and clean rows by the order of a
@@ -29,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _POW, _TABLE, _powers, mix, slices, table
+from .common import _POW, _TABLE, _powers, forget, free_name, mix, slices, stored, table
 from .features import Linear, fit_logistic
 
 BITS = 20
@@ -43,13 +45,35 @@ _SWAP, _DROP, _EDGE, _DOUBLE, _SINGLE = 1.0, 0.3, 1.6, 0.5, 0.5
 _BETWEEN = " ._*-"
 _READ = 16  # bytes of a reading, beyond what features look at
 _L = "a-zß-ɏ"
-_SUSPECT = re.compile(
-    rf"(?<![{_L}0-9])(?=(?:[0-9@$!|+][ ._*-])*[{_L}](?![{_L}0-9]))[{_L}0-9@$!|+](?:[ ._*-][{_L}0-9@$!|+]){{2,}}(?![{_L}0-9])"  # single letters spelt out
-    rf"|[{_L}0-9@$!|+]*(?:[0-9@$!|+]+[{_L}]|([{_L}])\1\1)[{_L}0-9@$!|+]*"  # leet before a letter, or a run of three
-    rf"|[{_L}]+[0-9@$]+(?![0-9@$!|+%#&*])"  # leet at the end
-)
-# stands in every text that has a suspicious span, and is found faster
-_HINT = re.compile(rf"[0-9@$!|+][{_L}]|[{_L}][0-9@$]+(?![0-9@$!|+%#&*])|([{_L}])\1\1|(?<![{_L}0-9])[{_L}0-9@$!|+][ ._*-][{_L}0-9@$!|+][ ._*-][{_L}0-9@$!|+](?![{_L}0-9])").search
+_C = rf"[{_L}0-9@$!|+]"
+# single characters spelt out; of such a span at least one must be a letter
+_SPELT = re.compile(rf"(?<![{_L}0-9]){_C}(?:[ ._*-]{_C}){{2,}}(?![{_L}0-9])")
+# what makes a run of letters and leet characters suspicious: leet before a letter, a run of three, leet at the end
+_ODD = re.compile(rf"[0-9@$!|+][{_L}]|([{_L}])\1\1|[{_L}][0-9@$]+(?![0-9@$!|+%#&*])")
+_RUN = re.compile(rf"{_C}+")
+_IN_RUN = re.compile(_C).match
+_LETTER = re.compile(rf"[{_L}]").search
+
+
+def suspicious(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the spans to decode, in order, none within another."""
+    spans = [m.span() for m in _SPELT.finditer(text) if _LETTER(m[0])]
+    k, at = 0, 0
+    while m := _ODD.search(text, at):
+        lo, hi = m.start(), _RUN.match(text, m.start()).end()
+        while lo > at and _IN_RUN(text[lo - 1]):
+            lo -= 1
+        at = hi
+        while hi > m.end() and text[hi - 1] in "!|+":  # marks after a word
+            hi -= 1
+        while k < len(spans) and spans[k][1] <= lo:
+            k += 1
+        end = k
+        while end < len(spans) and spans[end][0] < hi:  # a spelt-out span that goes on in the run is one with it
+            lo, hi, end = min(lo, spans[end][0]), max(hi, spans[end][1]), end + 1
+        spans[k:end] = [(lo, hi)]
+    return spans
+
 
 # classes of bytes: 1-26 letters, 0 the edge of a word, 27-58 the bytes of other letters
 _CLASS = np.zeros(256, np.int64)
@@ -149,11 +173,17 @@ class Channel:
         return said[::-1]
 
     def text(self, text: str) -> str:
-        """The text with every suspicious span decoded beside what stands there."""
-        if not _HINT(text):
+        """The text with every suspicious span decoded, and readings of the spelt-out ones after it."""
+        spans = suspicious(text)
+        if not spans:
             return text
-        said = [self.restore(m[0]) for m in _SUSPECT.finditer(text)]
-        return "\n".join([text, " ".join(x for _, x in said if x), " ".join(x for x, _ in said)])
+        out, said, at = [], [], 0
+        for lo, hi in spans:
+            meant, read = self.restore(text[lo:hi])
+            out += [text[at:lo], meant]
+            said += [read] if read else []
+            at = hi
+        return "".join([*out, text[at:], "\n", " ".join(said)])
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -186,8 +216,11 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 3 == 1
 
 
-def train(docs: DataFrame, labels: DataFrame, counts: np.ndarray, sample: int = 20_000, support: int = 4, odds: float = 6.0) -> Linear:
-    """docs: doc_id, text; labels: doc_id, toxic. Only labelled rows of the training fold are looked at."""
+def train(docs: DataFrame, labels: DataFrame, counts: np.ndarray, sample: int = 20_000, support: int = 4, odds: float = 6.0, toxic_weight: float = 0.8) -> Linear:
+    """docs: doc_id, text; labels: doc_id, toxic. Only labelled rows of the training fold are looked at.
+
+    toxic_weight: the share of the loss that the toxic documents have together, whatever their number.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(counts)
     fold = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     fold = fold.filter(~held_out(F.col("doc_id"))).withColumn("h", F.xxhash64("doc_id", F.lit(5))).orderBy("h").limit(sample).select("doc_id", "toxic")
@@ -201,8 +234,6 @@ def train(docs: DataFrame, labels: DataFrame, counts: np.ndarray, sample: int =
             yield pa.record_batch({"toxic": b.column("toxic"), "place": pa.ListArray.from_arrays(ends, place.astype(np.int32))})
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(fold, "doc_id").select("text", "toxic")
-    from .common import stored
-
     rows = stored(own.mapInArrow(run, "toxic int, place array<int>"))
     bad = F.sum((F.col("toxic") > 0).cast("int"))
     n1, n0 = (x or 0 for x in rows.agg(bad, F.sum((F.col("toxic") <= 0).cast("int"))).first())
@@ -224,12 +255,17 @@ def train(docs: DataFrame, labels: DataFrame, counts: np.ndarray, sample: int =
     got = rows.mapInArrow(only, "toxic int, place array<int>").toPandas()
     size = got["place"].map(len).to_numpy()
     doc, place = np.repeat(np.arange(len(got)), size), np.concatenate([np.zeros(0, np.int64), *got["place"].tolist()]).astype(np.int64)
+    forget(rows)
     y = (got["toxic"].to_numpy() > 0).astype(float)
-    return fit_logistic(doc, place, np.ones(len(place)), y, 1 << BITS, weight=np.where(y > 0, 0.5 / n1, 0.5 / n0), decay=1e-5)
+    used, near = np.unique(place, return_inverse=True)
+    few = fit_logistic(doc, near, np.ones(len(place)), y, len(used), weight=np.where(y > 0, toxic_weight / n1, (1 - toxic_weight) / n0), decay=1e-5)
+    weights = np.zeros(1 << BITS)
+    weights[used] = few.weights
+    return Linear(weights, few.bias)
 
 
-def score(docs: DataFrame, scorer: Linear, counts: np.ndarray) -> DataFrame:
-    """Adds _score to all rows and columns of docs."""
+def score(docs: DataFrame, scorer: Linear, counts: np.ndarray, name: str = "_score") -> DataFrame:
+    """Adds the score as column `name` to all rows and columns of docs."""
     sent = docs.sparkSession.sparkContext.broadcast((scorer, counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,15 +274,15 @@ def score(docs: DataFrame, scorer: Linear, counts: np.ndarray) -> DataFrame:
         for b in slices(batches):
             doc, place = features([channel.text(x) for x in lower(b)])
             value = scorer.score(doc, place, np.ones(len(place)), b.num_rows)
-            yield pa.record_batch([*b.columns, pa.array(value, pa.float64())], names=[*b.schema.names, "_score"])
+            yield pa.record_batch([*b.columns, pa.array(value, pa.float64())], names=[*b.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, below: float = 0.7) -> DataFrame:
-    """The rows that score less than `below`, with the columns of docs."""
-    counts = trigram_counts(docs)
-    return score(docs, train(docs, labels, counts), counts).filter(F.col("_score") < below).drop("_score")
+    """The rows that score less than `below`, with the columns of docs, whatever their names."""
+    counts, name = trigram_counts(docs), free_name(docs, "_score")
+    return score(docs, train(docs, labels, counts), counts, name).filter(F.col(name) < below).drop(name)
 
 
 def op9_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:

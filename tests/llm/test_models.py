@@ -1,9 +1,11 @@
 """Suffix tree, quality, toxicity and the pipeline: exact bases, held-out accuracy, awkward rows."""
 
 import collections
+import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -15,7 +17,8 @@ from riskgraph.llm import lm_scoring, quality
 from riskgraph.llm.features import Linear
 from riskgraph.llm.lm_scoring import op1_suffix_tree
 from riskgraph.llm.quality import keep_good, op6_weak_labels
-from riskgraph.llm.toxicity import _HINT, _SUSPECT, Channel, op9_noisy_channel, trigram_counts
+from riskgraph.llm.bagminhash import keep_one
+from riskgraph.llm.toxicity import _CLASS, Channel, keep_clean, op9_noisy_channel, suspicious, trigram_counts
 
 from .cases import awkward, empty, write
 
@@ -116,7 +119,6 @@ def test_quality_samples_each_text_once(spark, monkeypatch):
     assert fitted == [11]
 
 
-@pytest.mark.xfail(reason="measured recall is 0.875 at sf0.1, where few labelled rows train; 0.992 at 0.1 GB", strict=False)
 def test_toxicity_on_held_out_labels(spark):
     d = "/root/testdata/sf0.1"
     both = op9_noisy_channel(spark, d).filter("held_out").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").select("predicted", "toxic").collect()
@@ -129,36 +131,108 @@ def test_toxicity_of_awkward_rows(spark, tmp_path):
     labels = spark.createDataFrame([(3, 1, 1), (4, 1, 0), (None, 1, None)], "doc_id long, quality int, toxic int")
     write(spark, tmp_path, labels, "labels")
     odd = awkward(spark)
-    assert op9_noisy_channel(spark, write(spark, tmp_path, odd)).count() == odd.count()
+    got = op9_noisy_channel(spark, write(spark, tmp_path, odd)).collect()
+    held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 3 == 1
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(r.doc_id) for r in odd.collect())
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) and r.held_out == held(r.doc_id) for r in got)
     assert op9_noisy_channel(spark, write(spark, tmp_path, empty(spark))).count() == 0
 
 
+def test_stages_take_clashing_columns_and_awkward_rows(spark):
+    """Texts that are equal share a fate, all columns stay, and nothing is invented."""
+    labels = spark.createDataFrame([(3, 1, 1), (4, 1, 0)], "doc_id long, quality int, toxic int")
+    clash = {c: F.lit(k) for k, c in enumerate(["_score", "_Weak", "key", "row", "size", "_score_"])}
+    odd = awkward(spark).withColumns(clash)
+    key = lambda rows: sorted((str(r.doc_id), r.text or "") for r in rows)
+    every = key(odd.collect())
+    for stage in (keep_good, lambda d: keep_clean(d, labels), keep_one):
+        out = stage(odd)
+        got = out.collect()
+        assert out.columns == odd.columns and set(key(got)) <= set(every)
+        assert all((r["_score"], r["_Weak"], r["key"], r["size"], r["_score_"]) == (0, 1, 2, 4, 5) for r in got)
+        assert stage(odd.limit(0)).count() == 0
+    assert key(keep_clean(odd, labels.limit(0)).collect()) == every  # without labels nothing is toxic
+    assert len({t for _, t in key(keep_one(odd).collect())}) == len({t for _, t in every}) == keep_one(odd).count()
+
+
 @pytest.fixture(scope="module")
 def channel(spark):
     return Channel(trigram_counts(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")))
 
 
-def test_channel_restores_what_was_written(spark):
-    c = Channel(trigram_counts(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")))
-    for said, meant in (("1d10t", "idiot"), ("l.o.s.e.r", "loser"), ("m0r0n", "moron"), ("tr@$h", "trash"), ("p4th3t1c", "pathetic")):
-        assert c.text(f"so {said} it is").split("\n")[-1] == meant
+def test_channel_restores_what_was_written(channel):
+    for said, meant in (("1d10t", "idiot"), ("l.o.s.e.r", "loser"), ("m0r0n", "moron"), ("tr@$h", "trash"), ("p4th3t1c", "pathetic"), ("l0ser!!", "loser!!")):
+        assert channel.text(f"so {said} it is").split("\n")[0] == f"so {meant} it is"
 
 
 def test_channel_decodes_spans_of_any_length(channel):
-    assert channel.text("l" + "o" * 210 + "ser").split("\n")[-1] == "loser"
-    assert channel.text(" ".join("stupid" * 40)).split("\n")[-1].replace(" ", "") == "stupid" * 40
-    assert channel.text("1d10t" * 4000).split("\n")[-1] == "idiot" * 4000
+    assert channel.text("l" + "o" * 210 + "ser").split("\n")[0] == "loser"
+    assert channel.text(" ".join("stupid" * 1000)).split("\n")[0].replace(" ", "") == "stupid" * 1000
+    assert channel.text("1d10t" * 4000).split("\n")[0] == "idiot" * 4000
+
+
+def test_spans_are_found_in_linear_time():
+    n = 1_000_000
+    for text in ("x1y " + "abcde" * (n // 5), "a1" * (n // 2), "a" * n, "0 1 " * (n // 4) + "x", "1" * n, "a" + "1" * n + "%"):
+        began = time.time()
+        suspicious(text)
+        assert time.time() - began < 2
 
 
 @pytest.mark.parametrize("said, meant", [("you are a m o r o n", "moron"), ("he is a s t u p i d fool", "stupid"), ("a l.o.s.e.r", "loser"), ("1 d i o t", "idiot"), ("s t u p i d m o r o n", "moron")])
 def test_channel_finds_words_in_spelt_out_spans(channel, said, meant):
-    assert meant in [x for line in channel.text(said).split("\n")[1:] for x in line.split()]
+    assert meant in channel.text(said).split()
 
 
-def test_no_suspicious_text_passes_the_gate():
+def test_suspicious_spans():
+    for text, spans in (
+        ("so dumba$$ it is", ["dumba$$"]), ("a$$", ["a$$"]), ("idi07", ["idi07"]), ("tra54", ["tra54"]), ("wow!!! it costs 50% of 1,200", []), ("sooo m0r0n", ["sooo", "m0r0n"]),
+        ("a b c 1", ["a b c 1"]), ("1 2 3 4", []), ("1 d 1 0 t says l0ser!", ["1 d 1 0 t", "l0ser"]), ("mp3% x", []),
+    ):
+        assert [text[a:b] for a, b in suspicious(text)] == spans
     pick = random.Random(7)
-    texts = ["so dumba$$ it is", "a$$", "idi07", "tra54", *("".join(pick.choices("ab1$@!|+ .-%é", k=pick.randint(1, 9))) for _ in range(100_000))]
-    assert [x for x in texts if _SUSPECT.search(x) and not _HINT(x)] == []
+    for _ in range(20_000):
+        text = "".join(pick.choices("ab1$@!|+ .-%é", k=pick.randint(1, 12)))
+        spans = suspicious(text)
+        assert all(a < b for a, b in spans) and all(x[1] <= y[0] for x, y in zip(spans, spans[1:], strict=False))
+        covered = {k for a, b in spans for k in range(a, b)}
+        assert all(m.start() in covered for m in re.finditer(r"[0-9@$!|+][a-zé]", text))
+
+
+def test_viterbi_against_all_paths(channel):
+    """The cheapest reading of short lattices, by trying every one."""
+    for span in ("1d10t", "m0r0n", "l.o.s", "aaa1", "4.5.5", "s-c-u-m", "tr@$h"):
+        for edges in (True, False):
+            best = None
+            for path in itertools.product(*channel._lattice(span, edges)):
+                a = b = 0
+                cost = 0.0
+                for price, add in path:
+                    cost += price
+                    for c in add:
+                        k = int(_CLASS[c])
+                        cost += channel.cost[a, b, k]
+                        a, b = b, k
+                cost += channel.cost[a, b, 0]
+                best = min(best, (cost, b"".join(x for _, x in path))) if best else (cost, b"".join(x for _, x in path))
+            assert b"".join(channel._decode(span, edges)) == best[1]
+
+
+def test_expectation_maximisation_finds_planted_accuracies():
+    rng = np.random.default_rng(3)
+    truth = rng.random(200_000) < 0.7
+    seen = np.array([[0.6, 0.97], [0.5, 0.99], [0.7, 0.95], [0.4, 0.98], [0.8, 0.96]])  # of the bad, of the good
+    right = rng.random((len(truth), 5)) < np.where(truth[:, None], seen[:, 1], seen[:, 0])
+    votes = np.where(rng.random(right.shape) < 0.8, np.where(right, truth[:, None], ~truth[:, None]).astype(int), -1)
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    post, acc, share = quality.expectation_maximisation(patterns, counts.astype(float))
+    assert abs(share - 0.7) < 0.02 and np.abs(acc - seen).max() < 0.03
+    # one step over the counted patterns, written plainly, changes nothing: the result is a fixed point
+    for k in range(5):
+        for y in (0, 1):
+            w = counts * (post if y else 1 - post)
+            cast = patterns[:, k] >= 0
+            assert abs((w * (cast & (patterns[:, k] == y))).sum() / (w * cast).sum() - acc[k, y]) < 1e-3
 
 
 def test_pipeline(spark):

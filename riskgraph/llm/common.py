@@ -36,7 +36,8 @@ def _path(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Shuffle files go with the query that made them; workers get few texts at once.
+_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1024"}
 
 
 def stored(df: DataFrame, narrow: bool = False) -> DataFrame:
@@ -52,12 +53,14 @@ def stored(df: DataFrame, narrow: bool = False) -> DataFrame:
     path = f"{shared_dir(spark)}/riskgraph-{uuid.uuid4().hex}"
     fs, at = _path(spark, path)
     fs.deleteOnExit(at)
-    before = spark.conf.get(_CLEAN, None)
-    spark.conf.set(_CLEAN, "true")
+    before = {k: spark.conf.get(k, None) for k in _WHILE_WRITING}
+    for k, v in _WHILE_WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._riskgraph_path = path
     return out

@@ -353,7 +353,7 @@ def score(docs: DataFrame, tree: Tree, head_bound: int = 1 << 20) -> DataFrame:
     sides = rows.mapInArrow(run, f"bucket int, tail binary, {_PART}"), tree.values.filter(F.col("f") < floor).mapInArrow(deal, "bucket int, model binary")
     found = sides[0].groupBy("bucket").cogroup(sides[1].groupBy("bucket")).applyInArrow(meet, _PART)
     per = found.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "more")))
-    return per.select(
+    return stored(per).select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(tree.total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("base") + F.col("more")).alias("score"),
     )
 

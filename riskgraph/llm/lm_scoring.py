@@ -307,6 +307,8 @@ def score(docs: DataFrame, tree: Tree, head_bound: int = 1 << 20) -> DataFrame:
             h, d, word = (np.concatenate(x) for x in zip(*left, strict=True))
             if len(h):
                 _, first, n = np.unique(_key(h, d.astype(np.uint64)), return_index=True, return_counts=True)
+                order = np.argsort(d[first], kind="stable")  # a text's entries lie side by side, so its number packs well
+                first, n = first[order], n[order]
                 held[0].append(h[first])
                 held[1].append(ids[d[first]])
                 held[2].append((n * np.where(word[first], -1, 1)).astype(np.int32))  # words have counts below zero

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -15,12 +16,22 @@ LOOKUP_ORDER = ["uid", "device", "addr", "card", "email"]  # the order in which
 _NEED = ["txn_id", "dt", "day", "amt", "label", "hour"]
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the cluster's shared folder, or a temporary one where none is set (tests)."""
-    sc = df.sparkSession.sparkContext
-    if not (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="riskgraph-graph-"))
-    return df.checkpoint()
+def _written(df: DataFrame) -> DataFrame:
+    """A table in the cluster's shared folder, read back: lineage ends, lost executors lose nothing, and joins know its
+    size. Only a local session may go without a shared folder. The table goes when the application ends."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not root:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="riskgraph-graph-")
+        sc.setCheckpointDir(root)
+    path = f"{root.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def window_members(df: DataFrame, cfg: Config, types: list[str] = TYPES) -> DataFrame:
@@ -41,15 +52,15 @@ def components(members: DataFrame, cfg: Config, types: list[str] = TYPES) -> tup
     until nothing changes; values beyond the degree bounds are left out first, so no group is large.
     """
     deg = window_degrees(members, types).filter(F.col("degree").between(cfg.min_degree, cfg.max_degree))
-    edges = _checkpointed(long_form(members.select("d", "txn_id", *types), types, ["d", "txn_id"]).join(deg, ["d", "etype", "value"]).select("d", "txn_id", "etype", "value"))
+    edges = _written(long_form(members.select("d", "txn_id", *types), types, ["d", "txn_id"]).join(deg, ["d", "etype", "value"]).select("d", "txn_id", "etype", "value"))
     lab = edges.select("d", "txn_id").distinct().withColumn("comp", F.col("txn_id"))
     before = None
     while True:
         by_value = edges.join(lab, ["d", "txn_id"]).groupBy("d", "etype", "value").agg(F.min("comp").alias("comp"))
         new = edges.join(by_value, ["d", "etype", "value"]).groupBy("d", "txn_id").agg(F.min("comp").alias("comp"))
         jump = new.select("d", F.col("txn_id").alias("comp"), F.col("comp").alias("next"))
-        lab = _checkpointed(new.join(jump, ["d", "comp"]).select("d", "txn_id", F.least("comp", "next").alias("comp")))
-        now = lab.agg(F.sum("comp")).first()[0]
+        lab = _written(new.join(jump, ["d", "comp"]).select("d", "txn_id", F.least("comp", "next").alias("comp")))
+        now = lab.agg(F.sum(F.col("comp").cast("decimal(38,0)"))).first()[0]  # labels only fall; wide enough for any sum of longs
         if now == before:
             break
         before = now

@@ -65,11 +65,21 @@ def test_components_equal_the_capped_kernel_without_a_cap(spark):
     assert capped.agg(F.max("count")).first()[0] <= 3
 
 
+def test_components_of_very_large_ids(spark):
+    top = 1 << 62
+    members = spark.range(8).select(F.lit(1).cast("long").alias("d"), (F.lit(top) + F.col("id")).alias("txn_id"), (F.col("id") / 2).cast("int").cast("string").alias("device"), F.lit(None).cast("string").alias("card"))
+    comp, _ = graph.components(members, Config(), PAIR)
+    assert sorted((r.txn_id - top, r.comp - top) for r in comp.collect()) == [(k, k - k % 2) for k in range(8)]
+
+
 def test_metrics_by_hand(spark):
-    df = spark.createDataFrame([(0, 0, 0.1, 0, 1), (1, 0, 0.2, 0, 2), (2, 0, 0.3, 0, 3), (3, 1, 0.9, 0, 4), (4, 1, 0.95, 0, 5)], "txn_id long, label long, score double, day long, dt long")
-    assert metrics.pr_auc(df).first()[0] == 1.0 and metrics.roc_auc(df).first()[0] == 1.0
-    k = spark.createDataFrame([(i, y, s, d, i) for i, (y, s, d) in enumerate(zip([0, 1, 0, 1, 0, 0], [0.9, 0.8, 0.1, 0.5, 0.7, 0.6], [0, 0, 0, 1, 1, 1], strict=True))], "txn_id long, label long, score double, day long, dt long")
-    assert metrics.precision_at_k(k, 2).first()[0] == 0.25
+    cols = "txn_id long, label long, score double, day long, dt long"
+    # thresholds .8 (1 of 1), .6 (tied: 2 of 3), .4 (2 of 4), .2 (3 of 5): precision after each gain in recall
+    df = spark.createDataFrame([(11, 1, 0.8, 2, 5), (12, 0, 0.6, 2, 6), (13, 1, 0.6, 3, 7), (14, 0, 0.4, 3, 8), (15, 1, 0.2, 3, 9)], cols)
+    assert math.isclose(metrics.pr_auc(df).first()[0], (1 + 2 / 3 + 3 / 5) / 3, abs_tol=1e-6)
+    assert math.isclose(metrics.roc_auc(df).first()[0], (2 + 1.5 + 0) / 6, abs_tol=1e-6)
+    assert metrics.precision_at_k(df, 1).first()[0] == 1.0  # 11 on day 2, 13 on day 3
+    assert math.isclose(metrics.precision_at_k(df, 2).first()[0], 0.5)
     c = spark.createDataFrame([(True, 1), (True, 0), (False, 1)], "flagged boolean, n_fraud long")
     assert metrics.case_precision(c).first()[0] == 0.5
     same = spark.range(1000).select((F.col("id") % 2).cast("int").alias("side"), F.floor(F.col("id") / 2).cast("double").alias("x"))
@@ -101,8 +111,8 @@ def test_ledger_finds_tampering_and_a_cut_tail(spark):
 def test_texts_and_evidence(spark):
     df = spark.createDataFrame([("Chrome 63.0  x",), ("1920x1080",), (None,), ("12.5",)], "t string")
     assert [r[0] for r in df.select(norm_token(F.col("t"))).collect()] == ["chrome x", "x", "NA", "NA"]
-    said = spark.createDataFrame([("c_00417 has 34 of 1,200.5, v2 -7",)], "t string").select(numbers_in(F.col("t"))).first()[0]
-    assert said == [34.0, 1200.5, -7.0]
+    said = spark.createDataFrame([("ring_88 holds 5 rows worth 2,310.75, model v9, shift -4",)], "t string").select(numbers_in(F.col("t"))).first()[0]
+    assert said == [5.0, 2310.75, -4.0]
     verdict = spark.createDataFrame([("<think>no</think> Yes, it is",), ("<think>cut",), ("no.",)], "t string")
     assert [r[0] for r in verdict.select(evidence.parse_verdict(F.col("t"))).collect()] == ["yes", "unparsed", "no"]
     b = QUERIES["numeric_fidelity"](spark, DIR)

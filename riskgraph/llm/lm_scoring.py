@@ -139,16 +139,20 @@ def _gather(batches: Iterator[pa.RecordBatch], parts_of: Callable, flush: int =
         yield one()
 
 
-def _dealt(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """(bucket, rows) for each bucket that has rows: the bytes of one column after the other."""
+def _dealt(bucket: np.ndarray, *columns: np.ndarray, steps: int | None = None) -> Iterator[tuple[int, bytes]]:
+    """(bucket, rows) for each bucket that has rows: the bytes of one column after the other.
+
+    steps: the number of a column, long and rising, that is held as differences, which pack well.
+    """
     order = np.argsort(bucket, kind="stable")
     bucket, columns = bucket[order], tuple(x[order] for x in columns)
     cut = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(bucket)) if len(bucket) else [0]
     for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-        yield int(bucket[lo]), b"".join(x[lo:hi].tobytes() for x in columns)
+        own = [np.diff(x[lo:hi], prepend=0) if k == steps else x[lo:hi] for k, x in enumerate(columns)]
+        yield int(bucket[lo]), b"".join(x.tobytes() for x in own)
 
 
-def _undealt(blobs: pa.ChunkedArray, *types: str) -> list[np.ndarray]:
+def _undealt(blobs: pa.ChunkedArray, *types: str, steps: int | None = None) -> list[np.ndarray]:
     """The columns of all rows of _dealt in one bucket."""
     width, parts = sum(np.dtype(t).itemsize for t in types), [[np.zeros(0, t)] for t in types]
     for x in blobs:
@@ -156,8 +160,9 @@ def _undealt(blobs: pa.ChunkedArray, *types: str) -> list[np.ndarray]:
             continue
         raw = x.as_buffer()
         n, at = raw.size // width, 0
-        for t, out in zip(types, parts, strict=True):
-            out.append(np.frombuffer(raw, t, n, at))
+        for k, (t, out) in enumerate(zip(types, parts, strict=True)):
+            own = np.frombuffer(raw, t, n, at)
+            out.append(np.cumsum(own) if k == steps else own)
             at += n * np.dtype(t).itemsize
     return [np.concatenate(x) for x in parts]
 
@@ -284,7 +289,7 @@ def score(docs: DataFrame, tree: Tree, head_bound: int = 1 << 20) -> DataFrame:
             h, row, n = (np.concatenate(x) for x in held)
             for x in held:
                 x.clear()
-            got = list(zip(*_dealt(_bucket(h, bits), h, row, n), strict=True)) or [[], []]
+            got = list(zip(*_dealt(_bucket(h, bits), h, row, n, steps=1), strict=True)) or [[], []]
             none = {f: pa.nulls(len(got[0]), t) for f, t in zip(_PART_NAMES, kinds, strict=True)}
             return pa.record_batch({"bucket": pa.array(got[0], pa.int32()), "tail": pa.array(got[1], pa.binary()), **none})
 
@@ -334,7 +339,7 @@ def score(docs: DataFrame, tree: Tree, head_bound: int = 1 << 20) -> DataFrame:
         if not part.num_rows:  # no text asks this bucket
             return kinds_of.empty_table()
         own = part.filter(part["row"].is_valid()).select(_PART_NAMES)
-        h, row, n = _undealt(part["tail"], "<u8", "<i8", "<i4")
+        h, row, n = _undealt(part["tail"], "<u8", "<i8", "<i4", steps=1)
         keys, c, value = _undealt(model["model"] if model.num_rows else [], "<u8", "<u4", "<f8")
         keys, back = np.unique(keys, return_inverse=True)
         c, value = np.bincount(back, c, len(keys)), np.bincount(back, value, len(keys))

@@ -33,7 +33,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality classifier", quality), ("toxicity", toxicity), ("MinHash near-dedup", near_duplicates), ("packing", packing)]
 
-#: SQL can't express the trained stages; tests hold each against a plainer version.
+#: SQL can't express the trained stages. Tests: near-duplicates against brute force, quality and toxicity against labels,
+#: packing by its round trip; of the whole pipeline, only that each stage takes what the one before kept.
 ORACLE_SQL = None
 
 

@@ -90,16 +90,17 @@ def _find(keys: np.ndarray, want: np.ndarray) -> np.ndarray:
 
 
 def _filter(keys: DataFrame, tokens: int) -> np.ndarray:
-    """One bit for each key h in a table of two bits a token, of 16 MB at most: a set bit may be another key's."""
+    """Two bits in one word for each key h, in a table of two bits a token, of 16 MB at most: set bits may be other keys'."""
     words = max(10, min(_FILTER_WORDS, (tokens >> 5).bit_length()))
-    got = keys.groupBy(F.expr(f"shiftrightunsigned(h, {64 - words})").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("b")).toArrow()
+    got = keys.groupBy(F.expr(f"shiftrightunsigned(h, {64 - words})").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)) | shiftleft(1L, cast(shiftright(h, 6) & 63 as int)))").alias("b")).toArrow()
     out = np.zeros(1 << words, np.uint64)
     out[got["w"].to_numpy()] = got["b"].to_numpy().view(np.uint64)
     return out
 
 
 def _may(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    return (bits[keys >> np.uint64(65 - len(bits).bit_length())] >> (keys & np.uint64(63))) & np.uint64(1) > 0
+    word = bits[keys >> np.uint64(65 - len(bits).bit_length())]
+    return (word >> (keys & np.uint64(63))) & (word >> ((keys >> np.uint64(6)) & np.uint64(63))) & np.uint64(1) > 0
 
 
 def _sum(s: np.ndarray, u: np.ndarray, c: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,7 +145,8 @@ def _dealt(bucket: np.ndarray, *columns: np.ndarray, steps: int | None = None) -
 
     steps: the number of a column, long and rising, that is held as differences, which pack well.
     """
-    order = np.argsort(bucket, kind="stable")
+    small = not len(bucket) or bucket.max() < 1 << 16
+    order = np.argsort(bucket.astype(np.uint16) if small else bucket, kind="stable")  # short numbers sort in linear time
     bucket, columns = bucket[order], tuple(x[order] for x in columns)
     cut = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(bucket)) if len(bucket) else [0]
     for lo, hi in zip(cut[:-1], cut[1:], strict=True):
@@ -223,19 +225,19 @@ def train(texts: DataFrame, max_depth: int = 3, least: int = 2, min_gain: float
 
         found = stored(_counted(texts, parts, _bits(total, 1 << 20), least), narrow=True)
         sent.destroy()
-        mass = found.groupBy("s").agg(F.sum(F.col("c") - discount).alias("mass"))
-        state = level.select(F.col("h").alias("s"), F.col("c").alias("n"), F.col("u").alias("up")).join(mass.hint("shuffle_hash"), "s")
-        state = stored(state.select("s", "up", "n", F.greatest(1 - F.col("mass") / F.col("n"), F.lit(1e-12)).alias("left")), narrow=True)
-        half = stored(found.join(state.select("s", "n", "left").hint("shuffle_hash"), "s").select("h", "s", "u", "c", "n", "left"), narrow=True)
-        forget(found)
-        # the suffix's pair is as frequent, so it is held
+        below = level.select(F.col("h").alias("u"), F.col("p").alias("below"))
+        # the suffix's pair is as frequent, so it is held; all later steps meet on s, in one exchange
+        whole = found.join(below.hint("shuffle_hash"), "u").repartition("s")
+        mass = whole.groupBy("s").agg(F.sum(F.col("c") - discount).alias("mass"))
+        state = mass.join(level.select(F.col("h").alias("s"), F.col("c").alias("n"), F.col("u").alias("up")), "s")
+        state = state.select("s", "up", "n", F.greatest(1 - F.col("mass") / F.col("n"), F.lit(1e-12)).alias("left"))
         p = (F.col("c") - discount) / F.col("n") + F.col("left") * F.col("below")
-        pairs = stored(half.join(level.select(F.col("h").alias("u"), F.col("p").alias("below")).hint("shuffle_hash"), "u").select("h", "s", "u", "c", p.alias("p"), "below"), narrow=True)
-        forget(half)
-        told = pairs.groupBy("s").agg(F.sum(F.col("c") * F.log(F.col("p") / F.col("below"))).alias("won"), F.sum(-F.col("c") * F.log("p")).alias("cost"), F.sum("c").alias("inside"))
+        pairs = stored(whole.join(state.hint("shuffle_hash"), "s").select("h", "s", "u", "c", p.alias("p"), "below", "up", "n", "left"), narrow=True)
+        forget(found)
+        sums = {"won": F.col("c") * F.log(F.col("p") / F.col("below")), "cost": -F.col("c") * F.log("p"), "inside": F.col("c")}
+        told = pairs.groupBy("s").agg(*[F.max(c).alias(c) for c in ("up", "n", "left")], *[F.sum(x).alias(c) for c, x in sums.items()])
         gain = F.col("won") + F.greatest(F.col("n") - F.col("inside"), F.lit(0)) * F.log("left")
-        levels.append((pairs, stored(state.join(told.hint("shuffle_hash"), "s").select("s", "up", "n", "left", gain.alias("gain"), "cost"), narrow=True)))
-        forget(state)
+        levels.append((pairs, stored(told.select("s", "up", "n", "left", gain.alias("gain"), "cost"), narrow=True)))
         level = pairs
         if not level.take(1):
             break
@@ -256,7 +258,7 @@ def _keep(levels: list[tuple[DataFrame, DataFrame]], min_gain: float) -> Iterato
         longer = stored(state.filter(needed).select("s", "up", "n", "left"), narrow=True)
         yield longer.select(F.col("s").alias("h"), F.col("n").alias("f"), F.log10("left").alias("value"))
         value = F.log10(F.col("p") / F.col("below")) - F.log10("left")
-        own = pairs.join(longer.select("s", "left").hint("shuffle_hash"), "s").select("h", F.col("c").alias("f"), value.alias("value"))
+        own = pairs.join(longer.select("s").hint("shuffle_hash"), "s", "left_semi").select("h", F.col("c").alias("f"), value.alias("value"))
         yield stored(own, narrow=True)
         forget(pairs, told)
 
@@ -274,7 +276,7 @@ def score(docs: DataFrame, tree: Tree, head_bound: int = 1 << 20) -> DataFrame:
     order = np.argsort(keys)
     rest = _filter(tree.values.filter((F.col("f") < floor) & F.col("c").isNull()), tree.total)
     near = np.zeros(1 << 16, np.uint64)
-    np.bitwise_or.at(near, keys >> np.uint64(48), np.uint64(1) << (keys & np.uint64(63)))
+    np.bitwise_or.at(near, keys >> np.uint64(48), (np.uint64(1) << (keys & np.uint64(63))) | (np.uint64(1) << ((keys >> np.uint64(6)) & np.uint64(63))))
     sent = spark.sparkContext.broadcast((keys[order], np.log10(head["c"].to_numpy() + 1.0)[order], head["value"].to_numpy()[order], near, rest))
     longest, unknown, bits = tree.longest, tree.unknown, _bits(tree.total, 1 << 21)
     kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
@@ -298,7 +300,9 @@ def score(docs: DataFrame, tree: Tree, head_bound: int = 1 << 20) -> DataFrame:
             size, rows = np.diff(at), b.num_rows
             doc, ids = np.repeat(np.arange(rows), size), b["row"].to_numpy()
             base, more, known, left = np.zeros(rows), np.zeros(rows), np.zeros(rows), []
+            alive = np.ones(len(tok), bool)
             for n, (key, where) in enumerate(sequences(tok, at, longest)):
+                where = where[alive[where]]  # a sequence has a value only if the one without its first word has one
                 key, d = key[where], doc[where]
                 i, maybe = np.full(len(key), -1, np.int64), np.flatnonzero(_may(near, key))
                 i[maybe] = _find(keys, key[maybe])
@@ -309,6 +313,9 @@ def score(docs: DataFrame, tree: Tree, head_bound: int = 1 << 20) -> DataFrame:
                     known += np.bincount(d[hit], minlength=rows)
                 out = ~hit if not n else ~hit & _may(rest, key)
                 left.append((key[out], d[out], np.full(out.sum(), not n)))
+                if n:
+                    alive[:] = False
+                    alive[where[hit | out]] = True
             h, d, word = (np.concatenate(x) for x in zip(*left, strict=True))
             if len(h):
                 _, first, n = np.unique(_key(h, d.astype(np.uint64)), return_index=True, return_counts=True)

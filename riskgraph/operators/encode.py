@@ -71,3 +71,18 @@ def mode_by_priority(long: DataFrame, order: list[str]) -> DataFrame:
     per = long.groupBy("comp", "etype", "value").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("comp").orderBy(rank, F.desc("n"), "value")
     return per.withColumn("k", F.row_number().over(w)).filter("k = 1").drop("k")
+
+
+def pass_through(df: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
+    """txn_id with numbers as doubles and categories as texts; null stays null."""
+    return df.select("txn_id", *[F.col(c).cast("double").alias(c) for c in numeric], *[F.col(c).cast("string").alias(c) for c in categorical])
+
+
+def categorical_columns(df: DataFrame, leave_out: tuple[str, ...] = ()) -> list[str]:
+    """The text columns, in order."""
+    return [c for c, t in df.dtypes if t == "string" and c not in leave_out]
+
+
+def train_prior(df: DataFrame) -> DataFrame:
+    """The mean label of the train split alone; null without a labelled row."""
+    return df.filter("split = 'train'").agg(F.round(F.avg("label"), 6).alias("prior"))

@@ -55,3 +55,19 @@ def parse_verdict(reply: Column) -> Column:
     x = F.lower(F.trim(F.regexp_replace(reply, r"(?s)<think>.*?(</think>|\z)", "")))
     word = F.regexp_extract(x, r"^(yes|no|partial)\b", 1)
     return F.when(word != "", word).otherwise("unparsed")
+
+
+def cache_key(request: Column) -> Column:
+    return F.sha2(F.to_json(request), 256)
+
+
+def from_cache(df: DataFrame, cache: DataFrame, request: Column) -> DataFrame:
+    """Adds reply from a cache (key, reply), null where the request was never answered; equal requests share one reply."""
+    one = cache.groupBy("key").agg(F.min("reply").alias("reply"))
+    return df.withColumn("key", cache_key(request)).join(one, "key", "left")
+
+
+def support(df: DataFrame, reply: str = "reply") -> DataFrame:
+    """(n_claims, n_unsupported, unsupported_rate) of a judge's replies; partly supported and unread ones count as unsupported."""
+    bad = F.sum((parse_verdict(F.col(reply)) != "yes").cast("bigint"))
+    return df.agg(F.count(F.lit(1)).alias("n_claims"), F.coalesce(bad, F.lit(0)).alias("n_unsupported"), F.round(F.try_divide(bad, F.count(F.lit(1))), 6).alias("unsupported_rate"))

@@ -154,3 +154,18 @@ def case_subgraph(rows: DataFrame, types: list[str], max_nodes: int = 60) -> Dat
     w = Window.partitionBy("comp").orderBy("dt", "txn_id")
     first = rows.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= max_nodes)
     return long_form(first.select("comp", "txn_id", *types), types, ["comp", "txn_id"])
+
+
+def case_subgraph_nodes(rows: DataFrame, types: list[str], max_nodes: int = 60) -> DataFrame:
+    """(comp, kind, node, amt, dt): each case's first max_nodes transactions by time, and the entities that they touch."""
+    w = Window.partitionBy("comp").orderBy("dt", "txn_id")
+    first = rows.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= max_nodes)
+    tx = first.select("comp", F.lit("transaction").alias("kind"), F.col("txn_id").cast("string").alias("node"), "amt", "dt")
+    ent = long_form(first.select("comp", *types), types, ["comp"]).select("comp", F.col("etype").alias("kind"), F.col("value").alias("node")).distinct()
+    return tx.unionByName(ent, allowMissingColumns=True)
+
+
+def largest_share(comp: DataFrame) -> DataFrame:
+    """(d, largest_share): the share of a window's rows in its largest component; near 1 where a hub wasn't pruned."""
+    per = comp.groupBy("d", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("d").agg(F.max("n").alias("most"), F.sum("n").alias("all"))
+    return per.select("d", F.round(F.col("most") / F.col("all"), 6).alias("largest_share"))

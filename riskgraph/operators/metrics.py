@@ -105,3 +105,23 @@ def psi(df: DataFrame, features: list[str], side: str, bins: int = 10) -> DataFr
     empty = F.max("inner") + 1 - F.count(F.lit(1))  # bins that neither side fills add nothing
     value = F.sum((F.col("pa") - F.col("pe")) * F.log(F.col("pa") / F.col("pe"))) + 0 * empty
     return per.groupBy("feature").agg(F.round(value, 6).alias("psi"))
+
+
+def device_bands(df: DataFrame) -> DataFrame:
+    return df.withColumn("band", F.when(F.col("device").isNull(), "device_absent").otherwise("device_present"))
+
+
+def freshness_bands(df: DataFrame) -> DataFrame:
+    """new_uid for rows without an earlier row of their uid."""
+    return df.withColumn("band", F.when(F.coalesce("uid_prior_count", F.lit(0)) <= 0, "new_uid").otherwise("returning_uid"))
+
+
+def psi_report(df: DataFrame, features: list[str], side: str, limit: float = 0.25) -> DataFrame:
+    """(feature, psi, flagged, rank), the largest drift first; equal ones by name."""
+    w = Window.orderBy(F.desc("psi"), "feature")  # one row a feature
+    return psi(df, features, side).withColumns({"flagged": F.col("psi") > limit, "rank": F.row_number().over(w)}).orderBy("rank")
+
+
+def calibration_bundle(df: DataFrame, bins: int = 15) -> DataFrame:
+    """One row: ece, brier and log_loss."""
+    return ece_bins(df, bins).agg(F.max("ece").alias("ece")).crossJoin(brier_logloss(df))  # one row each

@@ -86,3 +86,8 @@ def check_decision(name: str) -> str:
     if name not in DECISIONS:
         raise ValueError(f"decision must be one of {DECISIONS}")
     return name
+
+
+def cost_of(decision: Column) -> Column:
+    """The expected cost of any action on a row with its three costs; null for an unknown one."""
+    return F.element_at(F.create_map(*[x for a in ("allow", "block", "review") for x in (F.lit(a), F.col(f"cost_{a}"))]), decision)

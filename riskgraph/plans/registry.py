@@ -576,6 +576,84 @@ def _(spark, d):
     return bursts(read(spark, d, "events"))
 
 
+# slices, reports and invariants
+
+@query("slice_device_coverage", f"WITH {_S.replace('amt, label,', 'amt, label, device,')}, g AS (SELECT *, CASE WHEN device IS NULL THEN 'device_absent' ELSE 'device_present' END AS band FROM s) {_recall('band', 'g')}")
+def _(spark, d):
+    return metrics.recall_at_fpr(metrics.device_bands(_scored(spark, d)), [0.001, 0.01, 0.05], ["band"])
+
+
+@query("slice_uid_freshness", f"WITH {_X}, s AS (SELECT label, {_SCORE} AS score, count(*) OVER ({_UID} 1 PRECEDING) AS c FROM x), g AS (SELECT *, CASE WHEN c = 0 THEN 'new_uid' ELSE 'returning_uid' END AS band FROM s) {_recall('band', 'g')}")
+def _(spark, d):
+    tx = causal.entity_features(_scored(spark, d), "uid", "uid", PRIOR, CFG)
+    return metrics.recall_at_fpr(metrics.freshness_bands(tx), [0.001, 0.01, 0.05], ["band"])
+
+
+@query("psi_report", f"WITH {_S}, p AS ({_PSI}) SELECT feature, psi, psi > 0.25 AS flagged, row_number() OVER (ORDER BY psi DESC, feature)::INT AS rank FROM p")
+def _(spark, d):
+    s = _scored(spark, d).select((F.col("day") >= 15).cast("int").alias("side"), "amt", "score", F.col("hour").cast("double").alias("hour"))
+    return metrics.psi_report(s, ["amt", "score", "hour"], "side")
+
+
+@query("train_prior", f"WITH {_N} SELECT round(avg(label), 6) AS prior FROM sp WHERE split = 'train'")
+def _(spark, d):
+    return encode.train_prior(split.temporal_split(transactions(spark, d), CFG))
+
+
+@query("feature_pass_through", f"WITH {_X} SELECT txn_id, amt::DOUBLE AS amt, nation::DOUBLE AS nation, hour::DOUBLE AS hour, event_type, segment FROM x")
+def _(spark, d):
+    return encode.pass_through(transactions(spark, d), ["amt", "nation", "hour"], ["event_type", "segment"])
+
+
+@query("hub_pruning_share", f"WITH RECURSIVE {_CC}, n AS (SELECT d, comp, count(*) AS n FROM comp GROUP BY d, comp) SELECT d, round(max(n) / sum(n), 6) AS largest_share FROM n GROUP BY d")
+def _(spark, d):
+    return graph.largest_share(graph.components(graph.window_members(transactions(spark, d), CFG), CFG, PAIR)[0])
+
+
+@query("case_subgraph_nodes", f"""WITH {_X}, f AS (SELECT *, user_id AS comp, row_number() OVER (PARTITION BY user_id ORDER BY dt, txn_id) AS n FROM x), k AS (SELECT * FROM f WHERE n <= 60)
+ SELECT comp, 'transaction' AS kind, txn_id::VARCHAR AS node, amt, dt FROM k UNION ALL SELECT DISTINCT comp, 'device', device, NULL, NULL FROM k UNION ALL SELECT DISTINCT comp, 'card', card, NULL, NULL FROM k""")
+def _(spark, d):
+    return graph.case_subgraph_nodes(transactions(spark, d).withColumn("comp", F.col("user_id")), PAIR)
+
+
+@query("noisy_or_top50", f"WITH {_CASES.replace('rank <= 3', 'rank <= 50')} SELECT comp, round(score, 6) AS score FROM sc")
+def _(spark, d):
+    return policy.case_scores(_scored(spark, d).withColumn("comp", F.col("user_id"))).select("comp", *_r("score"))
+
+
+@query("decision_cost", f"WITH {_CASES} SELECT comp, round(expected_cost, 2) AS own_cost, round(cost_block, 2) AS block_cost FROM dc")
+def _(spark, d):
+    c = policy.decide(_cases(spark, d)).select("comp", policy.cost_of(F.col("decision")).alias("own_cost"), policy.cost_of(F.lit("block")).alias("block_cost"))
+    return c.select("comp", *_r("own_cost", "block_cost", places=2))
+
+
+@query("calibration_report", f"""WITH {_S}, b AS (SELECT ({' + '.join(f'(score >= {k}::DOUBLE / 15)::INT' for k in range(1, 15))}) AS bin, score, label, greatest(least(score, 1 - 1e-12), 1e-12) AS p FROM s),
+ g AS (SELECT count(*) AS n, avg(score) AS conf, avg(label) AS rate FROM b GROUP BY bin), e AS (SELECT sum(abs(conf - rate) * n) / sum(n) AS ece FROM g), l AS (SELECT avg((score - label) * (score - label)) AS brier, avg(-(label * ln(p) + (1 - label) * ln(1 - p))) AS log_loss FROM b)
+ SELECT round(ece, 6) AS ece, round(brier, 6) AS brier, round(log_loss, 6) AS log_loss FROM e, l""")
+def _(spark, d):
+    return metrics.calibration_bundle(_scored(spark, d))
+
+
+_LINE = """'{"action":"' || action || '","case_id":"' || case_id || '","prev_hash":"' || {p} || '","seq":' || {b}seq || '}'"""
+_LINKED = f"""b AS (SELECT s_suppkey AS seq, 'c_' || s_suppkey AS case_id, CASE WHEN s_nationkey % 3 > 0 THEN 'block' ELSE 'allow' END AS action, row_number() OVER (ORDER BY s_suppkey) AS n FROM supplier),
+chain(n, seq, prev_hash, hash) AS (SELECT n, seq, '{ledger.GENESIS}', sha256('{ledger.GENESIS}' || {_LINE.replace("{p}", f"'{ledger.GENESIS}'").replace("{b}", "")}) FROM b WHERE n = 1
+ UNION ALL SELECT b.n, b.seq, chain.hash, sha256(chain.hash || {_LINE.replace("{p}", "chain.hash").replace("{b}", "b.")}) FROM chain JOIN b ON b.n = chain.n + 1)"""
+
+
+@query("ledger_lines", f"WITH RECURSIVE {_LINKED} SELECT seq, prev_hash, hash FROM chain")
+def _(spark, d):
+    return ledger.chained(_entries(spark, d).fillna("allow", ["action"])).select("seq", "prev_hash", "hash")
+
+
+@query("completion_cache", "SELECT p_partkey, p_brand AS brand, CASE WHEN p_brand < 'Brand#3' THEN 'about ' || p_brand END AS reply FROM part")
+def _(spark, d):
+    """Parts ask about their brand; the cache knows some brands only."""
+    p = read(spark, d, "part")
+    ask = F.struct(F.col("p_brand").alias("brand"))
+    known = p.filter("p_brand < 'Brand#3'").select(evidence.cache_key(ask).alias("key"), F.concat(F.lit("about "), "p_brand").alias("reply"))
+    return evidence.from_cache(p, known, ask).select("p_partkey", F.col("p_brand").alias("brand"), "reply")
+
+
 # models
 
 _NUM = ["amt", "uid_prior_count", "uid_prior_amt_mean", "uid_prior_fraud_rate", "device_prior_count", "hour"]
@@ -583,7 +661,7 @@ _NUM = ["amt", "uid_prior_count", "uid_prior_amt_mean", "uid_prior_fraud_rate",
 
 def _model_rows(spark, d):
     tx = causal.entity_features(causal.entity_features(transactions(spark, d), "uid", "uid", PRIOR, CFG), "device", "device", PRIOR, CFG)
-    return graph._checkpointed(split.temporal_split(tx, CFG).select("txn_id", "dt", "day", "split", F.col("label").cast("double").alias("label"), "email", *[F.col(c).cast("double").alias(c) for c in _NUM]))
+    return graph._written(split.temporal_split(tx, CFG).select("txn_id", "dt", "day", "split", F.col("label").cast("double").alias("label"), "email", *[F.col(c).cast("double").alias(c) for c in _NUM]))
 
 
 @query("gbt_calibrated_scores")
@@ -603,4 +681,9 @@ def _(spark, d):
         test = scoring.predict(model, rows.filter("split = 'test'"), cols).withColumn("score", F.round("raw", 6))
         one = metrics.headline(test, name)
         out = one if out is None else out.unionByName(one)
-    return out
+        if name == "C entity":
+            val = scoring.predict(model, rows.filter("split = 'val'"), cols)
+            flat = scoring.calibrate(val, test.drop("score")).withColumn("score", F.round("score", 6))
+            out = out.unionByName(metrics.headline(flat, "F calibrated"))
+    ruled = _ruled(spark, d).join(rows.filter("split = 'test'").select("txn_id"), "txn_id", "left_semi").withColumn("score", F.round("rule_score", 6))
+    return out.unionByName(metrics.headline(ruled, "A rules"))

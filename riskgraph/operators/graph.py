@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,28 +47,76 @@ def window_degrees(members: DataFrame, types: list[str] = TYPES) -> DataFrame:
     return long_form(members.select("d", "txn_id", *types), types, ["d", "txn_id"]).groupBy("d", "etype", "value").agg(F.count(F.lit(1)).alias("degree"))
 
 
+def _forest(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """Stars (d, u, v) around the smallest ids that join what every `most` edges join; never more edges than come in."""
+    roots: dict[int, dict[int, int]] = {}
+    held = 0
+
+    def top(up: dict[int, int], x: int) -> int:
+        path = []
+        while (y := up.get(x, x)) != x:
+            path.append(x)
+            x = y
+        for p in path:
+            up[p] = x
+        return x
+
+    def stars() -> pa.RecordBatch:
+        edges = [(d, x, top(up, x)) for d, up in roots.items() for x in list(up)]
+        roots.clear()
+        columns = zip(*edges, strict=True) if edges else ([], [], [])
+        return pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["d", "u", "v"])
+
+    for b in batches:
+        for d, u, v in zip(*(b.column(c).to_pylist() for c in ("d", "u", "v")), strict=True):
+            up = roots.setdefault(d, {})
+            u, v = top(up, u), top(up, v)
+            if u != v:
+                up[max(u, v)] = min(u, v)
+        held += b.num_rows
+        if held >= most:
+            held = 0
+            yield stars()
+    yield stars()
+
+
+def smallest_reachable(edges: DataFrame) -> DataFrame:
+    """(d, u, v): for every id that isn't its component's smallest, that smallest one. edges: long d, u, v.
+
+    Tasks shrink blocks of a day's ids to forests first, within a bound of edges held. What crosses blocks is joined by
+    alternating large-star and small-star steps (Kiveris et al. 2014), each a window over one exchange, until every id
+    has one edge and no centre is an end; where a day's ids fit one block, no step is needed.
+    """
+
+    def shrunk(e: DataFrame) -> DataFrame:
+        e = e.filter("u <> v").select("d", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        return _written(e.repartition("d", F.shiftright("u", 20)).mapInArrow(_forest, "d long, u long, v long").distinct())
+
+    cur = shrunk(edges.select(*[F.col(c).cast("bigint").alias(c) for c in ("d", "u", "v")]))
+    near = Window.partitionBy("d", "u")
+    while True:
+        ends = cur.select("d", "u", F.lit(1).alias("up"), F.lit(0).alias("centre")).unionByName(cur.select("d", F.col("v").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("centre")))
+        if not ends.groupBy("d", "u").agg(F.sum("up").alias("up"), F.max("centre").alias("centre")).filter("up > 0 AND up + centre > 1").take(1):
+            return cur
+        both = cur.unionByName(cur.select("d", F.col("v").alias("u"), F.col("u").alias("v")))
+        large = both.withColumn("m", F.least("u", F.min("v").over(near))).filter("v > u").select("d", F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.filter("u <> v").withColumn("m", F.min("v").over(near))
+        cur = shrunk(small.select("d", F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")))
+
+
 def components(members: DataFrame, cfg: Config, types: list[str] = TYPES) -> tuple[DataFrame, DataFrame]:
     """(d, txn_id, comp) of all members and (d, etype, value, comp) of surviving values; comp is the smallest txn_id.
 
-    Bipartite min-label passing: rows and values tell each other the smallest id, labels jump to their label's label,
-    until nothing changes; values beyond the degree bounds are left out first, so no group is large.
+    A value links its rows to the smallest of them, so the graph has numbers only; values beyond the degree bounds are
+    left out first.
     """
     deg = window_degrees(members, types).filter(F.col("degree").between(cfg.min_degree, cfg.max_degree))
-    edges = _written(long_form(members.select("d", "txn_id", *types), types, ["d", "txn_id"]).join(deg, ["d", "etype", "value"]).select("d", "txn_id", "etype", "value"))
-    lab = edges.select("d", "txn_id").distinct().withColumn("comp", F.col("txn_id"))
-    before = None
-    while True:
-        by_value = edges.join(lab, ["d", "txn_id"]).groupBy("d", "etype", "value").agg(F.min("comp").alias("comp"))
-        new = edges.join(by_value, ["d", "etype", "value"]).groupBy("d", "txn_id").agg(F.min("comp").alias("comp"))
-        jump = new.select("d", F.col("txn_id").alias("comp"), F.col("comp").alias("next"))
-        lab = _written(new.join(jump, ["d", "comp"]).select("d", "txn_id", F.least("comp", "next").alias("comp")))
-        now = lab.agg(F.sum(F.col("comp").cast("decimal(38,0)"))).first()[0]  # labels only fall; wide enough for any sum of longs
-        if now == before:
-            break
-        before = now
-    values = edges.join(lab, ["d", "txn_id"]).groupBy("d", "etype", "value").agg(F.min("comp").alias("comp"))
-    whole = members.select("d", "txn_id").join(lab, ["d", "txn_id"], "left")
-    return whole.select("d", "txn_id", F.coalesce("comp", "txn_id").alias("comp")), values
+    kept = _written(long_form(members.select("d", "txn_id", *types), types, ["d", "txn_id"]).join(deg, ["d", "etype", "value"]).select("d", "txn_id", "etype", "value"))
+    low = kept.groupBy("d", "etype", "value").agg(F.min("txn_id").alias("low"))
+    lab = smallest_reachable(kept.join(low, ["d", "etype", "value"]).select("d", F.col("txn_id").alias("u"), F.col("low").alias("v")))
+    values = low.join(lab.select("d", F.col("u").alias("low"), "v"), ["d", "low"], "left").select("d", "etype", "value", F.coalesce("v", "low").alias("comp"))
+    whole = members.select("d", "txn_id").join(lab.select("d", F.col("u").alias("txn_id"), "v"), ["d", "txn_id"], "left")
+    return whole.select("d", "txn_id", F.coalesce("v", "txn_id").alias("comp")), values
 
 
 def capped_components(members: DataFrame, cfg: Config, types: list[str] = TYPES) -> DataFrame:

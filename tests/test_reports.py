@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from riskgraph.operators import encode, evidence, ledger, metrics, policy
+from riskgraph.operators import encode, evidence, graph, ledger, metrics, policy
 from riskgraph.plans.registry import ORACLE_SQL, QUERIES
 from riskgraph.sources import sinks
 
@@ -67,3 +67,19 @@ def test_small_operators(spark):
     assert tuple(evidence.support(said.limit(0)).first()) == (0, 0, None)
     two = spark.createDataFrame([(float(k % 40), float(k + 500 * (k % 2)), k % 2) for k in range(800)], "same double, moved double, side int")
     assert [(r.feature, r.flagged) for r in metrics.psi_report(two, ["same", "moved"], "side").collect()][0] == ("moved", True)
+
+
+def test_smallest_reachable_over_many_blocks(spark):
+    """Chains, stars and loops whose ids lie in blocks of their own, so that the steps between tasks do the joining."""
+    links = [(1, a, b) for a, b in zip(range(40, 0, -1), range(39, -1, -1), strict=True)] + [(1, 100, k) for k in range(101, 120)]
+    links += [(2, 7 * k % 61, 7 * (k + 3) % 61) for k in range(30)] + [(2, 80, 81), (2, 81, 82), (2, 82, 80), (2, 90, 90), (3, 5, -4), (3, 5, -4)]
+    group = {}
+    for d, a, b in links:
+        a, b = group.get((d, a), {(d, a)}), group.get((d, b), {(d, b)})
+        for x in (both := a | b):
+            group[x] = both
+    big = 1 << 21
+    df = spark.createDataFrame([(d, a * big, b * big) for d, a, b in links], "d long, u long, v long").repartition(7)
+    got = {(r.d, r.u // big): r.v // big for r in graph.smallest_reachable(df).collect()}
+    assert got == {x: min(g)[1] for x, g in group.items() if min(g) != x}
+    assert graph.smallest_reachable(df.limit(0)).count() == 0

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,24 @@ def _path(spark: SparkSession, path: str):
 _WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1024"}
 
 
+@contextmanager
+def _tidy(spark: SparkSession) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in _WHILE_WRITING}
+    for k, v in _WHILE_WRITING.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def collected(df: DataFrame) -> pa.Table:
+    """The rows of a table of bounded size; the shuffle files of what computed it go at once."""
+    with _tidy(df.sparkSession):
+        return df.toArrow()
+
+
 def stored(df: DataFrame, narrow: bool = False) -> DataFrame:
     """Writes a table into the shared folder and reads it back: cuts lineage, survives lost executors.
 
@@ -53,14 +72,8 @@ def stored(df: DataFrame, narrow: bool = False) -> DataFrame:
     path = f"{shared_dir(spark)}/riskgraph-{uuid.uuid4().hex}"
     fs, at = _path(spark, path)
     fs.deleteOnExit(at)
-    before = {k: spark.conf.get(k, None) for k in _WHILE_WRITING}
-    for k, v in _WHILE_WRITING.items():
-        spark.conf.set(k, v)
-    try:
+    with _tidy(spark):
         df.write.parquet(path)
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._riskgraph_path = path
     return out

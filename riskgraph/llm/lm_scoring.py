@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, large_binary_column, mix, slices, stored, table, word_hashes
+from .common import collected, forget, large_binary_column, mix, slices, stored, table, word_hashes
 
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
 _R = np.uint64(0x9E3779B97F4A7C15)
@@ -89,13 +89,41 @@ def _find(keys: np.ndarray, want: np.ndarray) -> np.ndarray:
     return np.where(keys[i] == want, i, -1)
 
 
+def _mask(keys: np.ndarray) -> np.ndarray:
+    one = np.uint64(1)
+    return (one << (keys & np.uint64(63))) | (one << ((keys >> np.uint64(6)) & np.uint64(63)))
+
+
 def _filter(keys: DataFrame, tokens: int) -> np.ndarray:
-    """Two bits in one word for each key h, in a table of two bits a token, of 16 MB at most: set bits may be other keys'."""
+    """Two bits in one word for each key h, in a table of two bits a token, of 16 MB at most: set bits may be other keys'.
+
+    Tasks send the words that they set, by blocks of the table; a block's words meet in one task, whatever their number.
+    """
     words = max(10, min(_FILTER_WORDS, (tokens >> 5).bit_length()))
-    got = keys.groupBy(F.expr(f"shiftrightunsigned(h, {64 - words})").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)) | shiftleft(1L, cast(shiftright(h, 6) & 63 as int)))").alias("b")).toArrow()
-    out = np.zeros(1 << words, np.uint64)
-    out[got["w"].to_numpy()] = got["b"].to_numpy().view(np.uint64)
-    return out
+    block = words - 6
+
+    def own(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << words, np.uint64)
+        for b in it:
+            h = b["h"].to_numpy().view(np.uint64)
+            np.bitwise_or.at(bits, (h >> np.uint64(64 - words)).astype(np.intp), _mask(h))
+        at = np.flatnonzero(bits)
+        if len(at):
+            got = list(zip(*_dealt((at >> block).astype(np.int32), at, bits[at], steps=0), strict=True))
+            yield pa.record_batch({"block": pa.array(got[0], pa.int32()), "bits": pa.array(got[1], pa.binary())})
+
+    def joined(part: pa.Table) -> pa.Table:
+        at, some = _undealt(part["bits"], "<i8", "<u8", steps=0)
+        bits = np.zeros(1 << block, np.uint64)
+        np.bitwise_or.at(bits, at & ((1 << block) - 1), some)
+        return pa.table({"block": part["block"][:1], "bits": pa.array([bits.tobytes()], pa.binary())})
+
+    kinds = "block int, bits binary"
+    got = collected(keys.select("h").mapInArrow(own, kinds).groupBy("block").applyInArrow(joined, kinds))
+    out = np.zeros((64, 1 << block), np.uint64)
+    for k, raw in zip(got["block"].to_pylist(), got["bits"].to_pylist(), strict=True):
+        out[k] = np.frombuffer(raw, "<u8")
+    return out.ravel()
 
 
 def _may(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -271,13 +299,13 @@ def score(docs: DataFrame, tree: Tree, head_bound: int = 1 << 20) -> DataFrame:
     by buckets of their hashes; base is the sum over words alone, more what the tree adds to it."""
     spark = docs.sparkSession
     floor = max(2, -(-tree.total // head_bound))
-    head = tree.values.filter(F.col("f") >= floor).groupBy("h").agg(F.coalesce(F.max("c"), F.lit(0)).alias("c"), F.sum("value").alias("value")).toArrow()
-    keys = head["h"].to_numpy().view(np.uint64)
-    order = np.argsort(keys)
+    head = collected(tree.values.filter(F.col("f") >= floor).select("h", F.coalesce("c", F.lit(0)).alias("c"), "value"))
+    keys, back = np.unique(head["h"].to_numpy().view(np.uint64), return_inverse=True)  # at most one row of a key is a word's
+    counts, values = (np.bincount(back, head[x].to_numpy(), len(keys)) for x in ("c", "value"))
     rest = _filter(tree.values.filter((F.col("f") < floor) & F.col("c").isNull()), tree.total)
     near = np.zeros(1 << 16, np.uint64)
-    np.bitwise_or.at(near, keys >> np.uint64(48), (np.uint64(1) << (keys & np.uint64(63))) | (np.uint64(1) << ((keys >> np.uint64(6)) & np.uint64(63))))
-    sent = spark.sparkContext.broadcast((keys[order], np.log10(head["c"].to_numpy() + 1.0)[order], head["value"].to_numpy()[order], near, rest))
+    np.bitwise_or.at(near, keys >> np.uint64(48), _mask(keys))
+    sent = spark.sparkContext.broadcast((keys, np.log10(counts + 1.0), values, near, rest))
     longest, unknown, bits = tree.longest, tree.unknown, _bits(tree.total, 1 << 21)
     kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     kinds_of = pa.schema(list(zip(_PART_NAMES, kinds, strict=True)))

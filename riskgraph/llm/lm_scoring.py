@@ -364,11 +364,21 @@ def score(docs: DataFrame, tree: Tree, head_bound: int = 1 << 20) -> DataFrame:
             yield flush()
 
     def deal(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            h, c, value = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            got = list(zip(*_dealt(_bucket(h, bits), h, c, value), strict=True))
+            return pa.record_batch({"bucket": pa.array(got[0], pa.int32()), "model": pa.array(got[1], pa.binary())})
+
         for b in it:
-            h = b["h"].to_numpy().view(np.uint64)
-            c = b["c"].fill_null(0).to_numpy().astype(np.uint32)
-            got = list(zip(*_dealt(_bucket(h, bits), h, c, b["value"].to_numpy()), strict=True)) or [[], []]
-            yield pa.record_batch({"bucket": pa.array(got[0], pa.int32()), "model": pa.array(got[1], pa.binary())})
+            if b.num_rows:
+                held.append((b["h"].to_numpy().view(np.uint64), b["c"].fill_null(0).to_numpy().astype(np.uint32), b["value"].to_numpy()))
+            if sum(len(x[0]) for x in held) > 500_000:
+                yield flush()
+        if held:
+            yield flush()
 
     def meet(part: pa.Table, model: pa.Table) -> pa.Table:
         if not part.num_rows:  # no text asks this bucket

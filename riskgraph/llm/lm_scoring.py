@@ -308,7 +308,12 @@ def score(docs: DataFrame, tree: Tree, head_bound: int = 1 << 20) -> DataFrame:
     sent = spark.sparkContext.broadcast((keys, np.log10(counts + 1.0), values, near, rest))
     longest, unknown, bits = tree.longest, tree.unknown, _bits(tree.total, 1 << 21)
     kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-    kinds_of = pa.schema(list(zip(_PART_NAMES, kinds, strict=True)))
+    met = pa.schema([("home", pa.int32()), ("sums", pa.binary()), *zip(_PART_NAMES, kinds, strict=True)])
+    home_bits = _bits(tree.total, 1 << 22)
+
+    def home(rows: np.ndarray) -> np.ndarray:
+        """The bucket of texts that a text is in."""
+        return _bucket(mix(rows.view(np.uint64)), home_bits)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, logs, values, near, rest = sent.value
@@ -381,8 +386,9 @@ def score(docs: DataFrame, tree: Tree, head_bound: int = 1 << 20) -> DataFrame:
             yield flush()
 
     def meet(part: pa.Table, model: pa.Table) -> pa.Table:
+        """Texts' own rows as they came, and what the bucket adds to texts, packed for the bucket of texts it goes to."""
         if not part.num_rows:  # no text asks this bucket
-            return kinds_of.empty_table()
+            return met.empty_table()
         own = part.filter(part["row"].is_valid()).select(_PART_NAMES)
         h, row, n = _undealt(part["tail"], "<u8", "<i8", "<i4", steps=1)
         keys, c, value = _undealt(model["model"] if model.num_rows else [], "<u8", "<u4", "<f8")
@@ -395,19 +401,26 @@ def score(docs: DataFrame, tree: Tree, head_bound: int = 1 << 20) -> DataFrame:
         more = np.where(hit, value[i], 0.0) * times if len(keys) else np.zeros(len(h))
         base = np.where(word, times * (np.log10(count + 1.0) + unknown), 0.0)
         rows, at = np.unique(row, return_inverse=True)
-        none = [pa.nulls(len(rows), k) for k in (pa.int64(), pa.bool_(), pa.int64())]
-        known = np.bincount(at, times * (word & (count > 0)), len(rows)).astype(np.int64)
-        sums = [pa.array(np.bincount(at, x, len(rows)).astype(float)) for x in (base, more)]
-        more = pa.Table.from_arrays([pa.array(rows), *none, pa.array(known), *sums], schema=kinds_of)
-        return pa.concat_tables([own.cast(kinds_of), more])
+        sums = [np.bincount(at, x, len(rows)) for x in (times * (word & (count > 0)), base, more)]
+        got = list(zip(*_dealt(home(rows), rows, *(x.astype(float) for x in sums), steps=0), strict=True)) or [[], []]
+        packed = [pa.array(got[0], pa.int32()), pa.array(got[1], pa.binary()), *(pa.nulls(len(got[0]), t) for t in kinds)]
+        own = [pa.array(home(own["row"].to_numpy())), pa.nulls(own.num_rows, pa.binary()), *own.columns]
+        return pa.concat_tables([pa.Table.from_arrays(own, schema=met), pa.Table.from_arrays(packed, schema=met)])
+
+    def total(part: pa.Table) -> pa.Table:
+        own = part.filter(part["row"].is_valid())
+        ids = own["row"].to_numpy()
+        order = np.argsort(ids)
+        row, *sums = _undealt(part["sums"], "<i8", "<f8", "<f8", "<f8", steps=0)
+        at = order[np.searchsorted(ids[order], row)]
+        known, base, more = (own[c].to_numpy() + np.bincount(at, x, len(ids)) for c, x in zip(("n_known", "base", "more"), sums, strict=True))
+        return pa.table({"doc_id": own["doc_id"], "held_out": own["held_out"], "n_tokens": own["n_tokens"], "n_known": known.astype(np.int64), "base_score": base, "score": base + more})
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text", "held_out")
     sides = rows.mapInArrow(run, f"bucket int, tail binary, {_PART}"), tree.values.filter(F.col("f") < floor).mapInArrow(deal, "bucket int, model binary")
-    found = sides[0].groupBy("bucket").cogroup(sides[1].groupBy("bucket")).applyInArrow(meet, _PART)
-    per = found.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "more")))
-    return stored(per).select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(tree.total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("base") + F.col("more")).alias("score"),
-    )
+    found = sides[0].groupBy("bucket").cogroup(sides[1].groupBy("bucket")).applyInArrow(meet, f"home int, sums binary, {_PART}")
+    per = found.groupBy("home").applyInArrow(total, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return stored(per).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tree.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -41,10 +41,15 @@ def _path(spark: SparkSession, path: str):
 _WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1024"}
 
 
+#: Batches of short rows, and of texts up to the same bytes.
+_SHORT = {"spark.sql.execution.arrow.maxRecordsPerBatch": "16384", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
 @contextmanager
-def _tidy(spark: SparkSession) -> Iterator[None]:
-    before = {k: spark.conf.get(k, None) for k in _WHILE_WRITING}
-    for k, v in _WHILE_WRITING.items():
+def _tidy(spark: SparkSession, short: bool = False) -> Iterator[None]:
+    want = {**_WHILE_WRITING, **_SHORT} if short else _WHILE_WRITING
+    before = {k: spark.conf.get(k, None) for k in want}
+    for k, v in want.items():
         spark.conf.set(k, v)
     try:
         yield
@@ -54,17 +59,17 @@ def _tidy(spark: SparkSession) -> Iterator[None]:
 
 
 def collected(df: DataFrame) -> pa.Table:
-    """The rows of a table of bounded size; the shuffle files of what computed it go at once."""
-    with _tidy(df.sparkSession):
+    """The rows of a table of bounded size, made of short rows; the shuffle files of what computed it go at once."""
+    with _tidy(df.sparkSession, short=True):
         return df.toArrow()
 
 
-def stored(df: DataFrame, narrow: bool = False) -> DataFrame:
+def stored(df: DataFrame, narrow: bool = False, short: bool = False) -> DataFrame:
     """Writes a table into the shared folder and reads it back: cuts lineage, survives lost executors.
 
     The shuffle files of what computed it go once it is written; the table itself goes when forgotten or when the
     application ends. narrow: for tables of a few short columns, at most eight tasks a core write it, so that it has
-    few small files.
+    few small files. short: workers read tables of short rows, so batches end by bytes.
     """
     spark = df.sparkSession
     if narrow:
@@ -72,7 +77,7 @@ def stored(df: DataFrame, narrow: bool = False) -> DataFrame:
     path = f"{shared_dir(spark)}/riskgraph-{uuid.uuid4().hex}"
     fs, at = _path(spark, path)
     fs.deleteOnExit(at)
-    with _tidy(spark):
+    with _tidy(spark, short):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._riskgraph_path = path

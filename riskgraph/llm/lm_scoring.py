@@ -420,7 +420,7 @@ def score(docs: DataFrame, tree: Tree, head_bound: int = 1 << 20) -> DataFrame:
     sides = rows.mapInArrow(run, f"bucket int, tail binary, {_PART}"), tree.values.filter(F.col("f") < floor).mapInArrow(deal, "bucket int, model binary")
     found = sides[0].groupBy("bucket").cogroup(sides[1].groupBy("bucket")).applyInArrow(meet, f"home int, sums binary, {_PART}")
     per = found.groupBy("home").applyInArrow(total, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return stored(per).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tree.total).cast("long").alias("train_tokens"), "base_score", "score")
+    return stored(per, short=True).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tree.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def held_out(doc_id: Column) -> Column:

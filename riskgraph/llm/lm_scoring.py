@@ -80,13 +80,26 @@ def sequences(tok: np.ndarray, at: np.ndarray, longest: int) -> Iterator[tuple[n
         yield key, np.flatnonzero(left >= n - 1)
 
 
-def _find(keys: np.ndarray, want: np.ndarray) -> np.ndarray:
-    """Index of each wanted key in sorted keys, or -1."""
-    if not len(keys):
-        return np.full(len(want), -1, np.int64)
-    i = np.searchsorted(keys, want)
-    i[i == len(keys)] = 0
-    return np.where(keys[i] == want, i, -1)
+class Index:
+    """Finds hashes among sorted distinct ones by a table of where each range of hashes starts."""
+
+    def __init__(self, keys: np.ndarray):
+        bins = max(1, len(keys).bit_length())
+        self.n, self.shift = len(keys), np.uint64(64 - bins)
+        self.keys = np.append(keys, np.uint64(2**64 - 1))
+        self.start = np.searchsorted(keys, np.arange(1 << bins, dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def find(self, want: np.ndarray) -> np.ndarray:
+        """Index of each wanted hash, or -1."""
+        out = np.full(len(want), -1, np.int64)
+        open_, at = np.arange(len(want)), self.start[want >> self.shift]
+        while len(open_):
+            key = self.keys[at]
+            hit = (key == want) & (at < self.n)
+            out[open_[hit]] = at[hit]
+            more = key < want  # a range holds about one key
+            open_, at, want = open_[more], at[more] + 1, want[more]
+        return out
 
 
 def _mask(keys: np.ndarray) -> np.ndarray:
@@ -305,7 +318,7 @@ def score(docs: DataFrame, tree: Tree, head_bound: int = 1 << 20) -> DataFrame:
     rest = _filter(tree.values.filter((F.col("f") < floor) & F.col("c").isNull()), tree.total)
     near = np.zeros(1 << 16, np.uint64)
     np.bitwise_or.at(near, keys >> np.uint64(48), _mask(keys))
-    sent = spark.sparkContext.broadcast((keys, np.log10(counts + 1.0), values, near, rest))
+    sent = spark.sparkContext.broadcast((Index(keys), np.log10(counts + 1.0), values, near, rest))
     longest, unknown, bits = tree.longest, tree.unknown, _bits(tree.total, 1 << 21)
     kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     met = pa.schema([("home", pa.int32()), ("sums", pa.binary()), *zip(_PART_NAMES, kinds, strict=True)])
@@ -316,7 +329,7 @@ def score(docs: DataFrame, tree: Tree, head_bound: int = 1 << 20) -> DataFrame:
         return _bucket(mix(rows.view(np.uint64)), home_bits)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, logs, values, near, rest = sent.value
+        head, logs, values, near, rest = sent.value
         held: list[list[np.ndarray]] = [[], [], []]
         size_held = 0
 
@@ -338,7 +351,7 @@ def score(docs: DataFrame, tree: Tree, head_bound: int = 1 << 20) -> DataFrame:
                 where = where[alive[where]]  # a sequence has a value only if the one without its first word has one
                 key, d = key[where], doc[where]
                 i, maybe = np.full(len(key), -1, np.int64), np.flatnonzero(_may(near, key))
-                i[maybe] = _find(keys, key[maybe])
+                i[maybe] = head.find(key[maybe])
                 hit = i >= 0
                 more += np.bincount(d[hit], values[i[hit]], rows)
                 if not n:
@@ -394,7 +407,7 @@ def score(docs: DataFrame, tree: Tree, head_bound: int = 1 << 20) -> DataFrame:
         keys, c, value = _undealt(model["model"] if model.num_rows else [], "<u8", "<u4", "<f8")
         keys, back = np.unique(keys, return_inverse=True)
         c, value = np.bincount(back, c, len(keys)), np.bincount(back, value, len(keys))
-        i = _find(keys, h)
+        i = Index(keys).find(h)
         hit, word = i >= 0, n < 0
         times = np.abs(n)
         count = np.where(hit, c[i], 0) if len(keys) else np.zeros(len(h))

@@ -210,6 +210,17 @@ def _undealt(blobs: pa.ChunkedArray, *types: str, steps: int | None = None) -> l
     return [np.concatenate(x) for x in parts]
 
 
+def _short(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The low 48 bits of hashes. In a bucket of the top bits two of some hundred thousand share them as rarely as whole
+    hashes are shared in a large corpus."""
+    return h.astype(np.uint32), (h >> np.uint64(32)).astype(np.uint16)
+
+
+def _long(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """What _short left of hashes, in the top bits."""
+    return (high.astype(np.uint64) << np.uint64(48)) | (low.astype(np.uint64) << np.uint64(16))
+
+
 def _bucket(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int32)
 
@@ -337,7 +348,7 @@ def score(docs: DataFrame, tree: Tree, head_bound: int = 1 << 20) -> DataFrame:
             h, row, n = (np.concatenate(x) for x in held)
             for x in held:
                 x.clear()
-            got = list(zip(*_dealt(_bucket(h, bits), h, row, n, steps=1), strict=True)) or [[], []]
+            got = list(zip(*_dealt(_bucket(h, bits), *_short(h), row, n, steps=2), strict=True)) or [[], []]
             none = {f: pa.nulls(len(got[0]), t) for f, t in zip(_PART_NAMES, kinds, strict=True)}
             return pa.record_batch({"bucket": pa.array(got[0], pa.int32()), "tail": pa.array(got[1], pa.binary()), **none})
 
@@ -387,7 +398,7 @@ def score(docs: DataFrame, tree: Tree, head_bound: int = 1 << 20) -> DataFrame:
         def flush() -> pa.RecordBatch:
             h, c, value = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            got = list(zip(*_dealt(_bucket(h, bits), h, c, value), strict=True))
+            got = list(zip(*_dealt(_bucket(h, bits), *_short(h), c, value), strict=True))
             return pa.record_batch({"bucket": pa.array(got[0], pa.int32()), "model": pa.array(got[1], pa.binary())})
 
         for b in it:
@@ -403,9 +414,9 @@ def score(docs: DataFrame, tree: Tree, head_bound: int = 1 << 20) -> DataFrame:
         if not part.num_rows:  # no text asks this bucket
             return met.empty_table()
         own = part.filter(part["row"].is_valid()).select(_PART_NAMES)
-        h, row, n = _undealt(part["tail"], "<u8", "<i8", "<i4", steps=1)
-        keys, c, value = _undealt(model["model"] if model.num_rows else [], "<u8", "<u4", "<f8")
-        keys, back = np.unique(keys, return_inverse=True)
+        *h, row, n = _undealt(part["tail"], "<u4", "<u2", "<i8", "<i4", steps=2)
+        *keys, c, value = _undealt(model["model"] if model.num_rows else [], "<u4", "<u2", "<u4", "<f8")
+        h, (keys, back) = _long(*h), np.unique(_long(*keys), return_inverse=True)
         c, value = np.bincount(back, c, len(keys)), np.bincount(back, value, len(keys))
         i = Index(keys).find(h)
         hit, word = i >= 0, n < 0

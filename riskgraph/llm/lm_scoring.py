@@ -40,7 +40,7 @@ from .common import collected, forget, large_binary_column, mix, slices, stored,
 
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
 _R = np.uint64(0x9E3779B97F4A7C15)
-_FILTER_WORDS = 21
+_FILTER_WORDS = 22
 _PART_NAMES = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "more"]
 
 
@@ -108,7 +108,7 @@ def _mask(keys: np.ndarray) -> np.ndarray:
 
 
 def _filter(keys: DataFrame, tokens: int) -> np.ndarray:
-    """Two bits in one word for each key h, in a table of two bits a token, of 16 MB at most: set bits may be other keys'.
+    """Two bits in one word for each key h, in a table of two bits a token, of 32 MB at most: set bits may be other keys'.
 
     Tasks send the words that they set, by blocks of the table; a block's words meet in one task, whatever their number.
     """
@@ -280,12 +280,11 @@ def train(texts: DataFrame, max_depth: int = 3, least: int = 2, min_gain: float
         mass = found.groupBy("s").agg(F.sum(F.col("c") - discount).alias("mass"))
         state = level.select(F.col("h").alias("s"), F.col("c").alias("n"), F.col("u").alias("up")).join(mass.hint("shuffle_hash"), "s")
         state = stored(state.select("s", "up", "n", F.greatest(1 - F.col("mass") / F.col("n"), F.lit(1e-12)).alias("left")), narrow=True)
-        half = stored(found.join(state.select("s", "n", "left").hint("shuffle_hash"), "s").select("h", "s", "u", "c", "n", "left"), narrow=True)
-        forget(found)
+        half = found.join(state.select("s", "n", "left").hint("shuffle_hash"), "s").select("h", "s", "u", "c", "n", "left")
         # the suffix's pair is as frequent, so it is held
         p = (F.col("c") - discount) / F.col("n") + F.col("left") * F.col("below")
         pairs = stored(half.join(level.select(F.col("h").alias("u"), F.col("p").alias("below")).hint("shuffle_hash"), "u").select("h", "s", "u", "c", p.alias("p"), "below"), narrow=True)
-        forget(half)
+        forget(found)
         told = pairs.groupBy("s").agg(F.sum(F.col("c") * F.log(F.col("p") / F.col("below"))).alias("won"), F.sum(-F.col("c") * F.log("p")).alias("cost"), F.sum("c").alias("inside"))
         gain = F.col("won") + F.greatest(F.col("n") - F.col("inside"), F.lit(0)) * F.log("left")
         levels.append((pairs, stored(state.join(told.hint("shuffle_hash"), "s").select("s", "up", "n", "left", gain.alias("gain"), "cost"), narrow=True)))

@@ -40,7 +40,7 @@ from .common import collected, forget, large_binary_column, mix, slices, stored,
 
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
 _R = np.uint64(0x9E3779B97F4A7C15)
-_FILTER_WORDS = 22
+_FILTER_WORDS = 21
 _PART_NAMES = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "more"]
 
 
@@ -108,7 +108,7 @@ def _mask(keys: np.ndarray) -> np.ndarray:
 
 
 def _filter(keys: DataFrame, tokens: int) -> np.ndarray:
-    """Two bits in one word for each key h, in a table of two bits a token, of 32 MB at most: set bits may be other keys'.
+    """Two bits in one word for each key h, in a table of two bits a token, of 16 MB at most: set bits may be other keys'.
 
     Tasks send the words that they set, by blocks of the table; a block's words meet in one task, whatever their number.
     """

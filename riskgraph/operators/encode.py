@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -31,17 +31,24 @@ def encode_frequency(df: DataFrame, freq: DataFrame, column: str) -> DataFrame:
 
 
 def correlations(df: DataFrame, columns: list[str], chunk: int = 1000) -> DataFrame:
-    """(a, b, r): absolute Pearson correlations, rows with either value null left out; one pass for each chunk of pairs."""
+    """(a, b, r): absolute Pearson correlations, rows with either value null left out; one pass for each chunk of pairs.
+
+    r is null without such rows, and NaN where either column doesn't vary in them (corr would raise in ANSI mode)."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     out = None
     for k in range(0, len(pairs), chunk):
         part = pairs[k : k + chunk]
-        one = df.agg(*[F.abs(F.corr(a, b)).alias(f"r{i}") for i, (a, b) in enumerate(part)])
+        one = df.agg(*[_correlation(a, b).alias(f"r{i}") for i, (a, b) in enumerate(part)])
         got = one.selectExpr(f"stack({len(part)}, " + ", ".join(f"'{a}', '{b}', r{i}" for i, (a, b) in enumerate(part)) + ") AS (a, b, r)")
         out = got if out is None else out.unionByName(got)
     return out
 
 
+def _correlation(a: str, b: str) -> Column:
+    xx, yy, xy = F.regr_sxx(b, a), F.regr_syy(b, a), F.regr_sxy(b, a)
+    return F.when(xx.isNull() | ((xx > 0) & (yy > 0)), F.abs(F.try_divide(xy, F.sqrt(xx) * F.sqrt(yy)))).otherwise(F.lit(float("nan")))
+
+
 def correlation_prune(df: DataFrame, columns: list[str], limit: float = 0.95) -> list[str]:
     """Columns kept, best covered first (ties: given order); one that correlates above limit with a kept one goes."""
     cover = df.agg(*[F.count(c).alias(c) for c in columns]).first()

@@ -634,10 +634,10 @@ def _(spark, d):
     return metrics.calibration_bundle(_scored(spark, d))
 
 
-_LINE = """'{"action":"' || action || '","case_id":"' || case_id || '","prev_hash":"' || {p} || '","seq":' || {b}seq || '}'"""
+_LEDGER_LINE = """'{"action":"' || action || '","case_id":"' || case_id || '","prev_hash":"' || {p} || '","seq":' || {b}seq || '}'"""
 _LINKED = f"""b AS (SELECT s_suppkey AS seq, 'c_' || s_suppkey AS case_id, CASE WHEN s_nationkey % 3 > 0 THEN 'block' ELSE 'allow' END AS action, row_number() OVER (ORDER BY s_suppkey) AS n FROM supplier),
-chain(n, seq, prev_hash, hash) AS (SELECT n, seq, '{ledger.GENESIS}', sha256('{ledger.GENESIS}' || {_LINE.replace("{p}", f"'{ledger.GENESIS}'").replace("{b}", "")}) FROM b WHERE n = 1
- UNION ALL SELECT b.n, b.seq, chain.hash, sha256(chain.hash || {_LINE.replace("{p}", "chain.hash").replace("{b}", "b.")}) FROM chain JOIN b ON b.n = chain.n + 1)"""
+chain(n, seq, prev_hash, hash) AS (SELECT n, seq, '{ledger.GENESIS}', sha256('{ledger.GENESIS}' || {_LEDGER_LINE.replace("{p}", f"'{ledger.GENESIS}'").replace("{b}", "")}) FROM b WHERE n = 1
+ UNION ALL SELECT b.n, b.seq, chain.hash, sha256(chain.hash || {_LEDGER_LINE.replace("{p}", "chain.hash").replace("{b}", "b.")}) FROM chain JOIN b ON b.n = chain.n + 1)"""
 
 
 @query("ledger_lines", f"WITH RECURSIVE {_LINKED} SELECT seq, prev_hash, hash FROM chain")

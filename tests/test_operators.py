@@ -149,6 +149,17 @@ def test_split_sources_and_pruning(spark, tmp_path):
     assert PRIOR == 0.2
 
 
+def test_correlation_matrix_equals_its_sql(spark, tmp_path):
+    """As it is; and with a column that doesn't vary, one without values and one with a few."""
+    odd = f"SELECT * REPLACE (0.04::DOUBLE AS l_discount, NULL::DOUBLE AS l_tax, CASE WHEN l_linenumber = 2 THEN l_quantity END AS l_quantity) FROM '{DIR}/lineitem.parquet'"
+    duckdb.connect().execute(f"COPY ({odd}) TO '{tmp_path}/lineitem.parquet'")
+    for d in (DIR, str(tmp_path)):
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{d}/lineitem.parquet'")
+        got, want = sorted(map(tuple, QUERIES["correlation_matrix"](spark, d).collect())), sorted(con.execute(ORACLE_SQL["correlation_matrix"]).fetchall())
+        assert len(got) == 10 and str(got) == str(want)  # nan is null in pandas and not equal to itself
+
+
 def test_stream_equals_batch(spark, tmp_path):
     ev = spark.read.parquet(f"{DIR}/events.parquet")
     ev.write.parquet(str(tmp_path / "in"))

@@ -50,13 +50,15 @@ def _correlation(a: str, b: str) -> Column:
 
 
 def correlation_prune(df: DataFrame, columns: list[str], limit: float = 0.95) -> list[str]:
-    """Columns kept, best covered first (ties: given order); one that correlates above limit with a kept one goes."""
+    """Columns kept, best covered first (ties: given order); one that correlates above limit with a kept one goes.
+
+    A null or NaN correlation is none."""
     cover = df.agg(*[F.count(c).alias(c) for c in columns]).first()
     order = sorted(columns, key=lambda c: (-cover[c], columns.index(c)))
     r = {frozenset((x.a, x.b)): x.r for x in correlations(df, columns).collect()}
     kept: list[str] = []
     for c in order:
-        if all((r[frozenset((c, k))] or 0.0) <= limit for k in kept):
+        if not any((r[frozenset((c, k))] or 0.0) > limit for k in kept):
             kept.append(c)
     return kept
 

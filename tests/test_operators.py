@@ -160,6 +160,15 @@ def test_correlation_matrix_equals_its_sql(spark, tmp_path):
         assert len(got) == 10 and str(got) == str(want)  # nan is null in pandas and not equal to itself
 
 
+def test_correlation_prune(spark):
+    """The query keeps what its matrix says; a column that doesn't vary correlates with none."""
+    kept = {r.kept for r in QUERIES["correlation_prune"](spark, DIR).collect()}
+    high = {(r.a, r.b) for r in QUERIES["correlation_matrix"](spark, DIR).collect() if r.r > 0.95}
+    assert high == {("l_extendedprice", "gross")} and kept == {"l_quantity", "l_extendedprice", "l_discount", "l_tax"}
+    x = spark.range(50).select(F.lit(0.04).alias("a"), F.col("id").cast("double").alias("b"), (F.col("id") * 2.0).alias("c"), F.lit(None).cast("double").alias("d"))
+    assert encode.correlation_prune(x, ["a", "b", "c", "d"]) == ["a", "b", "d"]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     ev = spark.read.parquet(f"{DIR}/events.parquet")
     ev.write.parquet(str(tmp_path / "in"))

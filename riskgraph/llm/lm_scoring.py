@@ -28,7 +28,7 @@ repeated rows each get their row; an empty table gives an empty result; other co
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import collected, forget, large_binary_column, mix, slices, stored, table, word_hashes
+from .common import collected, forget, large_binary_column, mix, slices, stored, table, trim, word_hashes
 
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
 _R = np.uint64(0x9E3779B97F4A7C15)
@@ -124,6 +124,8 @@ def _filter(keys: DataFrame, tokens: int) -> np.ndarray:
         if len(at):
             got = list(zip(*_dealt((at >> block).astype(np.int32), at, bits[at], steps=0), strict=True))
             yield pa.record_batch({"block": pa.array(got[0], pa.int32()), "bits": pa.array(got[1], pa.binary())})
+        del bits, at
+        trim()
 
     def joined(part: pa.Table) -> pa.Table:
         at, some = _undealt(part["bits"], "<i8", "<u8", steps=0)
@@ -184,7 +186,8 @@ def _gather(batches: Iterator[pa.RecordBatch], parts_of: Callable, flush: int =
 def _dealt(bucket: np.ndarray, *columns: np.ndarray, steps: int | None = None) -> Iterator[tuple[int, bytes]]:
     """(bucket, rows) for each bucket that has rows: the bytes of one column after the other.
 
-    steps: the number of a column, long and rising, that is held as differences, which pack well.
+    steps: the number of a column, long and rising, that is held as differences. Signed whole numbers, which are small,
+    have their lowest bytes first, then the next: the zeros lie side by side, so they pack well.
     """
     small = not len(bucket) or bucket.max() < 1 << 16
     order = np.argsort(bucket.astype(np.uint16) if small else bucket, kind="stable")  # short numbers sort in linear time
@@ -192,10 +195,10 @@ def _dealt(bucket: np.ndarray, *columns: np.ndarray, steps: int | None = None) -
     cut = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(bucket)) if len(bucket) else [0]
     for lo, hi in zip(cut[:-1], cut[1:], strict=True):
         own = [np.diff(x[lo:hi], prepend=0) if k == steps else x[lo:hi] for k, x in enumerate(columns)]
-        yield int(bucket[lo]), b"".join(x.tobytes() for x in own)
+        yield int(bucket[lo]), b"".join(x.view(np.uint8).reshape(len(x), -1).T.tobytes() if x.dtype.kind == "i" else x.tobytes() for x in own)
 
 
-def _undealt(blobs: pa.ChunkedArray, *types: str, steps: int | None = None) -> list[np.ndarray]:
+def _undealt(blobs: Iterable[pa.Scalar], *types: str, steps: int | None = None) -> list[np.ndarray]:
     """The columns of all rows of _dealt in one bucket."""
     width, parts = sum(np.dtype(t).itemsize for t in types), [[np.zeros(0, t)] for t in types]
     for x in blobs:
@@ -204,12 +207,27 @@ def _undealt(blobs: pa.ChunkedArray, *types: str, steps: int | None = None) -> l
         raw = x.as_buffer()
         n, at = raw.size // width, 0
         for k, (t, out) in enumerate(zip(types, parts, strict=True)):
-            own = np.frombuffer(raw, t, n, at)
+            size = np.dtype(t).itemsize
+            own = np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T.ravel().view(t) if np.dtype(t).kind == "i" else np.frombuffer(raw, t, n, at)
             out.append(np.cumsum(own) if k == steps else own)
-            at += n * np.dtype(t).itemsize
+            at += n * size
     return [np.concatenate(x) for x in parts]
 
 
+def _blocks(blobs: pa.ChunkedArray, most: int = 4 << 20) -> Iterator[list[pa.Scalar]]:
+    """The blobs that are not null, in lists of about `most` bytes."""
+    some, size = [], 0
+    for x in blobs:
+        if x.is_valid:
+            some.append(x)
+            size += x.as_buffer().size
+        if size >= most:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 def _short(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The low 48 bits of hashes. In a bucket of the top bits two of some hundred thousand share them as rarely as whole
     hashes are shared in a large corpus."""
@@ -236,8 +254,11 @@ def _counted(texts: DataFrame, parts_of: Callable, bits: int, least: int) -> Dat
         for s, u, c in _gather(it, parts_of):
             got = list(zip(*_dealt(_bucket(_key(s, u), bits), s, u, c.astype(np.uint32)), strict=True))
             yield pa.record_batch({"bucket": pa.array(got[0], pa.int32()), "pairs": pa.array(got[1], pa.binary())})
+            del s, u, c, got
+        trim()
 
     def total(part: pa.Table) -> pa.Table:
+        trim()
         s, u, c = _sum(*_undealt(part["pairs"], "<u8", "<u8", "<u4"))
         ok = c >= least
         s, u, c = s[ok], u[ok], c[ok]
@@ -379,7 +400,7 @@ def score(docs: DataFrame, tree: Tree, head_bound: int = 1 << 20) -> DataFrame:
                 first, n = first[order], n[order]
                 held[0].append(h[first])
                 held[1].append(ids[d[first]])
-                held[2].append((n * np.where(word[first], -1, 1)).astype(np.int32))  # words have counts below zero
+                held[2].append((2 * n + word[first]).astype(np.int32))  # words have odd numbers
                 size_held += len(first)
             yield pa.record_batch({
                 "bucket": _bucket(mix(ids.view(np.uint64)), bits), "tail": pa.nulls(rows, pa.binary()), "row": b["row"], "doc_id": b["doc_id"], "held_out": b["held_out"],
@@ -390,6 +411,7 @@ def score(docs: DataFrame, tree: Tree, head_bound: int = 1 << 20) -> DataFrame:
                 yield flush()
         if size_held:
             yield flush()
+        trim()
 
     def deal(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -407,34 +429,43 @@ def score(docs: DataFrame, tree: Tree, head_bound: int = 1 << 20) -> DataFrame:
                 yield flush()
         if held:
             yield flush()
+        trim()
 
     def meet(part: pa.Table, model: pa.Table) -> pa.Table:
         """Texts' own rows as they came, and what the bucket adds to texts, packed for the bucket of texts it goes to."""
         if not part.num_rows:  # no text asks this bucket
             return met.empty_table()
+        trim()
         own = part.filter(part["row"].is_valid()).select(_PART_NAMES)
-        *h, row, n = _undealt(part["tail"], "<u4", "<u2", "<i8", "<i4", steps=2)
         *keys, c, value = _undealt(model["model"] if model.num_rows else [], "<u4", "<u2", "<u4", "<f8")
-        h, (keys, back) = _long(*h), np.unique(_long(*keys), return_inverse=True)
+        keys, back = np.unique(_long(*keys), return_inverse=True)
         c, value = np.bincount(back, c, len(keys)), np.bincount(back, value, len(keys))
-        i = Index(keys).find(h)
-        hit, word = i >= 0, n < 0
-        times = np.abs(n)
-        count = np.where(hit, c[i], 0) if len(keys) else np.zeros(len(h))
-        more = np.where(hit, value[i], 0.0) * times if len(keys) else np.zeros(len(h))
-        base = np.where(word, times * (np.log10(count + 1.0) + unknown), 0.0)
-        rows, at = np.unique(row, return_inverse=True)
-        sums = [np.bincount(at, x, len(rows)) for x in (times * (word & (count > 0)), base, more)]
-        got = list(zip(*_dealt(home(rows), rows, *(x.astype(float) for x in sums), steps=0), strict=True)) or [[], []]
+        index, parts = Index(keys), [[np.zeros(0, t)] for t in ("<i8", "<i8", "<f8", "<f8")]
+        for blobs in _blocks(part["tail"]):  # a text's entries are in one of them
+            *h, row, n = _undealt(blobs, "<u4", "<u2", "<i8", "<i4", steps=2)
+            i = index.find(_long(*h))
+            hit, word, times = i >= 0, n & 1 > 0, n >> 1
+            count = np.where(hit, c[i], 0) if len(keys) else np.zeros(len(n))
+            more = np.where(hit, value[i], 0.0) * times if len(keys) else np.zeros(len(n))
+            base = np.where(word, times * (np.log10(count + 1.0) + unknown), 0.0)
+            rows, at = np.unique(row, return_inverse=True)
+            known, base, more = (np.bincount(at, x, len(rows)) for x in (times * (word & (count > 0)), base, more))
+            for out, x in zip(parts, (rows, known.astype(np.int64), base, more), strict=True):
+                out.append(x)
+        rows, *sums = (np.concatenate(x) for x in parts)
+        order = np.argsort(rows, kind="stable")
+        rows, sums = rows[order], [x[order] for x in sums]
+        got = list(zip(*_dealt(home(rows), rows, *sums, steps=0), strict=True)) or [[], []]
         packed = [pa.array(got[0], pa.int32()), pa.array(got[1], pa.binary()), *(pa.nulls(len(got[0]), t) for t in kinds)]
         own = [pa.array(home(own["row"].to_numpy())), pa.nulls(own.num_rows, pa.binary()), *own.columns]
         return pa.concat_tables([pa.Table.from_arrays(own, schema=met), pa.Table.from_arrays(packed, schema=met)])
 
     def total(part: pa.Table) -> pa.Table:
+        trim()
         own = part.filter(part["row"].is_valid())
         ids = own["row"].to_numpy()
         order = np.argsort(ids)
-        row, *sums = _undealt(part["sums"], "<i8", "<f8", "<f8", "<f8", steps=0)
+        row, *sums = _undealt(part["sums"], "<i8", "<i8", "<f8", "<f8", steps=0)
         at = order[np.searchsorted(ids[order], row)]
         known, base, more = (own[c].to_numpy() + np.bincount(at, x, len(ids)) for c, x in zip(("n_known", "base", "more"), sums, strict=True))
         return pa.table({"doc_id": own["doc_id"], "held_out": own["held_out"], "n_tokens": own["n_tokens"], "n_known": known.astype(np.int64), "base_score": base, "score": base + more})

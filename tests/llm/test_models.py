@@ -9,11 +9,13 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from riskgraph.llm import lm_scoring, quality
+from riskgraph.llm.common import trim
 from riskgraph.llm.features import Linear
 from riskgraph.llm.lm_scoring import op1_suffix_tree
 from riskgraph.llm.quality import keep_good, op6_weak_labels
@@ -82,6 +84,29 @@ def test_suffix_tree_scores_against_dictionaries(spark, monkeypatch):
         assert got.keys() == want.keys() and all(abs(got[d] - want[d]) < 1e-6 * max(1, abs(want[d])) for d in want)
 
 
+def test_small_numbers_pack_and_blobs_go_in_blocks():
+    """What travels for a text's rare words packs to little more than its hashes; a bucket is met in blocks; freed memory goes back."""
+    rng = np.random.default_rng(5)
+    n = 40_000
+    h, row, times = rng.integers(0, 2**64, n, np.uint64), np.sort(rng.integers(0, n // 3, n)) + (5 << 33), rng.integers(1, 9, n).astype(np.int32)
+    got = dict(lm_scoring._dealt(lm_scoring._bucket(h, 4), *lm_scoring._short(h), row, times, steps=2))
+    raw = b"".join(got.values())
+    assert len(pa.compress(raw, "lz4", asbytes=True)) < 9 * n and len(raw) == 18 * n
+    blobs = pa.chunked_array([pa.array([None, *got.values()], pa.binary())])
+    blocks = list(lm_scoring._blocks(blobs, most=2 * len(raw) // 16))
+    assert 4 < len(blocks) < 16 and sum(len(x) for x in blocks) == 16
+    back = [np.concatenate(x) for x in zip(*(lm_scoring._undealt(b, "<u4", "<u2", "<i8", "<i4", steps=2) for b in blocks), strict=True)]
+    want = [*lm_scoring._short(h), row, times]
+    order = np.argsort(lm_scoring._bucket(h, 4), kind="stable")
+    assert all((a == b[order]).all() for a, b in zip(back, want, strict=True))
+    assert [len(x) for x in lm_scoring._undealt([], "<u4", "<i8")] == [0, 0]
+    pages = lambda: int(open("/proc/self/statm").read().split()[1])
+    held = [np.ones(12_000) for _ in range(800)]
+    held, most = held[-1:], pages()
+    trim()
+    assert most - pages() > 10_000  # of 19,000
+
+
 def test_suffix_tree(spark, tmp_path):
     docs = [tuple(r) for r in spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text").collect()]
     got = op1_suffix_tree(spark, DIR).collect()
